@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, url_filter
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import bpe, licenses, quality, simhash, token_counts, url_filter
 from .common import table
 
+
+def _simhash(spark, sf_dir):
+    out = simhash.components(table(spark, sf_dir, "documents"), shingle=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _bpe(spark, sf_dir):
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def _token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_license_scan": lambda spark, d: licenses.scan(table(spark, d, "documents")),
+    "op3_byte_bpe": _bpe,
     "op5_url_filter": lambda spark, d: url_filter.filter_urls(table(spark, d, "pages")),
+    "op6_token_counts": _token_counts,
     "op8_quality_rules": lambda spark, d: quality.judge(table(spark, d, "documents")),
+    "op10_simhash": _simhash,
 }
 
 ORACLES = {
