@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 import uuid
@@ -92,17 +91,15 @@ def _shards(benchmark: DataFrame, shard_bytes: int) -> Iterator[list[tuple[str,
         yield [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted) and spans (character offsets of hit runs).
+def _hits(docs: DataFrame, benchmark: DataFrame, size: int, shard_bytes: int) -> DataFrame:
+    """docs with _n (words), _hit (places of hit words) and _items (found), all columns kept and nothing shuffled.
 
-    Every occurrence of every window counts. A null text has no words, an empty benchmark hits nothing; items with a null id
-    or text are left out, repeated items are one; repeated rows give repeated results; no rows give none. The driver
-    measures the benchmark before it sends an automaton's items: beyond ``shard_bytes`` it is dealt to several
-    automata by hash, and the documents, with what they have collected, are written between the scans, so no executor holds two.
+    The driver measures the benchmark before it sends an automaton's items: beyond ``shard_bytes`` it is dealt to several automata by hash, and
+    the documents, with what they have collected, are written between the scans, so no executor holds two.
     """
     spark = docs.sparkSession
-    cur = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("array<int>").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
-    more = False
+    cur = docs.withColumns({"_n": F.lit(0), "_hit": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
+    at, width, more = docs.columns.index("text"), len(docs.columns), False
     for items in _shards(benchmark, shard_bytes):
         if more:
             cur = written(cur, "scanned")
@@ -114,30 +111,55 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes:
                 _built[key] = build(sent.value, size)
             built = _built[key]
             for b in batches:
-                hits, found = [], []
                 for i in range(0, b.num_rows, 256):
-                    for text, h0, i0 in zip(*(c.slice(i, 256).to_pylist() for c in b.columns[1:])):
-                        _, h, s = find(text, built)
-                        hits.append(sorted({*h, *(h0 or ())}))
-                        found.append(sorted({*s, *(i0 or ())}))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], ["doc_id", "text", "hit", "items"])
-
-        cur = cur.mapInArrow(step, "doc_id long, text string, hit array<int>, items array<string>")
+                    part = b.slice(i, 256)
+                    words, hits, found = [], [], []
+                    for text, h0, i0 in zip(*(part.column(c).to_pylist() for c in (at, width + 1, width + 2))):
+                        n, h, s = find(text, built)
+                        words.append(n)
+                        hits.append(sorted({*h, *h0}))
+                        found.append(sorted({*s, *i0}))
+                    new = [pa.array(words, pa.int32()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:width], *new], part.schema.names)
+
+        cur = cur.mapInArrow(step, cur.schema)
         more = True
+    return cur
+
+
+def _contaminated():
+    return (F.size("_hit") > 0) & (PERCENT_INVERSE * F.size("_hit").cast("long") >= F.col("_n"))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted) and spans (character offsets of hit runs).
+
+    Every occurrence of every window counts. A null text has no words, an empty benchmark hits nothing; items with a null id
+    or text are left out, repeated items are one; repeated rows give repeated results; no rows give none.
+    """
+    d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    items = pick(benchmark, "item_id", "text").where("item_id is not null and text is not null")
+    if items.isEmpty():  # then no scan has counted the words
+        items = docs.sparkSession.createDataFrame([("", "")], "item_id string, text string")
+    cur = _hits(d, items, size, shard_bytes).withColumn("contaminated", _contaminated())
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
             for i in range(0, b.num_rows, 256):
-                for text, h, s in zip(*(c.slice(i, 256).to_pylist() for c in b.columns[1:])):
-                    n, h, s = len(_bytes(text).split()), h or [], s or []
-                    out.append((n, len(h), len(s), hashlib.sha256(",".join(s).encode()).hexdigest(), len(h) > 0 and PERCENT_INVERSE * len(h) >= n, s,
-                                [{"start": x, "end": y} for x, y in spans(text, h)] if h else []))
-            cols = list(zip(*out)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
-
-    return cur.mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:int,end:int>>")
+                part = b.slice(i, 256)
+                cols = {n: part.column(k) for k, n in enumerate(part.schema.names)}
+                at = [[{"start": x, "end": y} for x, y in spans(t, h)] if h else [] for t, h in zip(cols["text"].to_pylist(), cols["_hit"].to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(cols[c] for c in ("doc_id", "_n", "_hit", "_items", "contaminated")), pa.array(at, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                                                 ["doc_id", "_n", "_hit", "_items", "contaminated", "spans"])
+
+    out = cur.mapInArrow(where, "doc_id long, _n int, _hit array<int>, _items array<string>, contaminated boolean, spans array<struct<start:int,end:int>>")
+    return out.select("doc_id", F.col("_n").cast("long").alias("n_words"), F.size("_hit").cast("long").alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), "contaminated", F.col("_items").alias("items"), "spans")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows of docs, all columns, of which under a twentieth of the words, or none, lies in windows of the benchmark."""
+    return _hits(docs, benchmark, size, shard_bytes).where(~_contaminated()).select(*docs.columns)
 
 
 _RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -387,3 +387,36 @@ def dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT, size: int = COLLE
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return rows.mapInArrow(of, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>" + ", kept binary" * text)
+
+
+def cleaned(docs: DataFrame, width: int = WIDTH, hot: int = HOT, size: int = COLLECTION) -> DataFrame:
+    """docs, all columns, with the repeated bytes gone from text and n_chars, where there is one, counted anew.
+
+    A character of which some bytes go goes wholly. A document that loses all its text stays, with an empty one.
+    """
+    spans = removed_spans(docs, width, hot, size).groupBy("doc", "part").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
+    text = F.coalesce("text", F.lit(""))
+    d = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_p": F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1))})
+    rows = d.join(spans, (F.col("_d") == F.col("doc")) & (F.col("_p") == F.col("part")), "left").select(*docs.columns, "spans")
+    at, schema = docs.columns.index("text"), docs.schema
+    n_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                cols, texts = part.columns[:-1], []
+                for t, found in zip(cols[at].to_pylist(), part.columns[-1].to_pylist()):
+                    if t is not None and found:
+                        raw, pos, keep = t.encode("utf-8", "surrogatepass"), 0, []
+                        for s, e in _merge(np.array([x["a"] for x in found], np.int64), np.array([x["e"] for x in found], np.int64)):
+                            keep.append(raw[pos:s].decode("utf-8", "ignore"))
+                            pos = e
+                        t = "".join([*keep, raw[pos:].decode("utf-8", "ignore")])
+                    texts.append(t)
+                cols[at] = pa.array(texts, cols[at].type)
+                if n_at is not None:
+                    cols[n_at] = pa.array([None if t is None else len(t) for t in texts], cols[n_at].type)
+                yield pa.RecordBatch.from_arrays(cols, part.schema.names[:-1])
+
+    return rows.mapInArrow(of, schema)

@@ -125,6 +125,21 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     return (model[0]["w"] if model else 0.0, np.array([r["at"] for r in model[1:]], np.int64), np.array([r["w"] for r in model[1:]], np.float64))
 
 
+def _scores(texts: Iterator[str | None], model: tuple[float, np.ndarray, np.ndarray], dense: np.ndarray, bits: int) -> list[float]:
+    out = []
+    for t in texts:
+        f = features(t or "", bits)
+        f = np.unique(f[dense[f] != 0])
+        out.append(float(1 / (1 + np.exp(-np.clip(model[0] + dense[f].sum(dtype=np.float64), -35, 35)))))
+    return out
+
+
+def _dense(model: tuple[float, np.ndarray, np.ndarray], bits: int) -> np.ndarray:
+    out = np.zeros(1 << bits, np.float32)
+    out[model[1]] = model[2]
+    return out
+
+
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
     """doc_id, held_out, score and predicted for every whole text.
 
@@ -134,16 +149,9 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], threshol
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b0, at, w = sent.value
-        dense = np.zeros(1 << bits, np.float32)
-        dense[at] = w
+        dense = _dense(sent.value, bits)
         for b in batches:
-            out = []
-            for i in range(0, b.num_rows, 256):
-                for t in b.column(1).slice(i, 256).to_pylist():
-                    f = features(t or "", bits)
-                    f = np.unique(f[dense[f] != 0])
-                    out.append(1 / (1 + np.exp(-np.clip(b0 + float(dense[f].sum(dtype=np.float64)), -35, 35))))
+            out = [x for i in range(0, b.num_rows, 256) for x in _scores(b.column(1).slice(i, 256).to_pylist(), sent.value, dense, bits)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, score double")
@@ -151,5 +159,20 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], threshol
     return d.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below ``threshold``; nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = _dense(sent.value, bits)
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                yield part.filter(pa.array([x < threshold for x in _scores(part.column(at).to_pylist(), sent.value, dense, bits)]))
+
+    return docs.mapInArrow(of, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels))
