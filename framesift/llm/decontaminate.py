@@ -85,7 +85,7 @@ def spans(text: str, hit: list[int]) -> list[tuple[int, int]]:
 def _shards(benchmark: DataFrame, shard_bytes: int) -> Iterator[list[tuple[str, str]]]:
     b = pick(benchmark, "item_id", "text").where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = b.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
-    n = math.ceil(total / shard_bytes)
+    n = max(1, math.ceil(total / shard_bytes))  # one scan at least, which counts the words
     for k in range(n):
         part = b if n == 1 else b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
@@ -138,10 +138,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes:
     or text are left out, repeated items are one; repeated rows give repeated results; no rows give none.
     """
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = pick(benchmark, "item_id", "text").where("item_id is not null and text is not null")
-    if items.isEmpty():  # then no scan has counted the words
-        items = docs.sparkSession.createDataFrame([("", "")], "item_id string, text string")
-    cur = _hits(d, items, size, shard_bytes).withColumn("contaminated", _contaminated())
+    cur = _hits(d, benchmark, size, shard_bytes).withColumn("contaminated", _contaminated())
 
     def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

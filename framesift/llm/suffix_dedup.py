@@ -117,7 +117,7 @@ def _pending(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         lead[1:] = key[by[1:]] != key[by[:-1]]
         top = by[np.maximum.accumulate(np.where(lead, np.arange(len(by)), 0))]
         again = np.zeros(len(by), bool)
-        again[by] = (top != by) & (h[top] == h[by]) & (sig[top] == sig[by])
+        again[by] = (h[top] == h[by]) & (sig[top] == sig[by]) & ((doc[top] != doc[by]) | (al[top] != al[by]))  # a repeated row is no later run
         keep = ~again
         d, x = doc[again], al[again]
         part, a = x >> 40, x >> 8 & 0xFFFFFFFF
@@ -276,7 +276,7 @@ def removed_spans(docs: DataFrame, width: int = WIDTH, hot: int = HOT, size: int
     d = _keyed(docs)
     pend = d.mapInArrow(lambda it: _pending(it, width), "h long, sig long, doc long, al long").repartition("h")
     same, gram = Window.partitionBy("h", "sig").orderBy("doc", "al"), Window.partitionBy("h")
-    seen = pend.withColumn("n", F.row_number().over(same))
+    seen = pend.withColumn("n", F.dense_rank().over(same))
     seen = seen.withColumn("kinds", F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).over(gram)).withColumn("tie", F.max(F.col("al").bitwiseAND(F.lit(1))).over(gram))
     unclear = (F.col("n") == 1) & ((F.col("kinds") > 1) | (F.col("tie") == 1))
     rows = seen.where((F.col("h") < 0) | (F.col("n") > 1) | unclear)
@@ -394,10 +394,10 @@ def cleaned(docs: DataFrame, width: int = WIDTH, hot: int = HOT, size: int = COL
 
     A character of which some bytes go goes wholly. A document that loses all its text stays, with an empty one.
     """
-    spans = removed_spans(docs, width, hot, size).groupBy("doc", "part").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
+    spans = removed_spans(docs, width, hot, size).groupBy(F.col("doc").alias("__d"), F.col("part").alias("__p")).agg(F.collect_list(F.struct("a", "e")).alias("__spans"))
     text = F.coalesce("text", F.lit(""))
-    d = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_p": F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1))})
-    rows = d.join(spans, (F.col("_d") == F.col("doc")) & (F.col("_p") == F.col("part")), "left").select(*docs.columns, "spans")
+    d = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__part": F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1))})
+    rows = d.join(spans, (F.col("__doc") == F.col("__d")) & (F.col("__part") == F.col("__p")), "left").select(*docs.columns, "__spans")
     at, schema = docs.columns.index("text"), docs.schema
     n_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
