@@ -10,6 +10,7 @@ whose suffixes share 100 symbols are the repeated ones.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ COLLECTION = 20_000
 HOT = 20_000
 _CHUNK = 1 << 18
 _RUNS = 400_000
+#: Rows that a round writes to its files at once.
+_BLOCK = 1 << 18
 _LOW = np.uint64(0xFFF)
 _U = np.uint64
 _BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * _U(2) + _U(1)
@@ -162,66 +165,96 @@ def _pending(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         yield from flush()
 
 
-def collection(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bwt, lcp, string, length) of all suffixes of the strings in their order; 0 in bwt: a string's start.
+class _Rows:
+    """One round's rows as files, a column each, written and read from front to back; no round has fewer rows than one before it."""
 
-    Round j inserts the suffix of length j of each string that has one. A round reads the rows of the round before
-    in order and writes them anew, the new rows between them: what comes before a row's suffix, ranked stably, is the place
+    KINDS = {"bwt": np.uint16, "lcp": np.uint8, "owner": np.int32, "length": np.uint8, "fresh": np.bool_}
+
+    def __init__(self, folder: str, name: str, wide: bool):
+        self.kinds = self.KINDS | {"bwt": np.uint32} if wide else self.KINDS
+        self.files = {c: open(f"{folder}/{name}.{c}", "w+b", buffering=0) for c in self.KINDS}
+
+    def write(self, **columns: np.ndarray) -> None:
+        for c, x in columns.items():
+            self.files[c].seek(0)
+            for i in range(0, len(x), _BLOCK):
+                self.files[c].write(x[i : i + _BLOCK].data)
+
+    def read(self, column: str) -> np.ndarray:
+        self.files[column].seek(0)
+        return np.fromfile(self.files[column], self.kinds[column])
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
+
+
+def collection(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bwt, lcp, string, length) of all suffixes of the strings of symbols in their order; 0 in bwt: a string's start.
+
+    Round j inserts the suffix of length j of each string that has one. A round reads the files of the round before from front to back
+    and writes its own, the new rows between the old: what comes before a row's suffix, ranked stably, is the place
     of the suffix that is one longer. A common prefix changes only where a row or its
-    predecessor is new: one more than the least prefix between the rows that the two suffixes came from. Symbols are bytes plus one; a string's end is less than any.
+    predecessor is new: one more than the least prefix between the rows that the two suffixes came from. A string's end is less than any symbol.
     Suffixes equal to their ends stay in the strings' order, and count as sharing all their symbols.
     """
     m = len(strings)
     sizes = np.fromiter(map(len, strings), np.int64, m)
     width = int(sizes.max(initial=0))
-    # symbols from the end: column j holds what round j + 1 inserts
-    sym = np.zeros((width, m), np.uint16)
-    flat = np.frombuffer(b"".join(strings), np.uint8)
+    flat = np.concatenate(strings) if m else np.zeros(0, np.uint16)
+    wide = flat.dtype.itemsize > 2
     ends = np.cumsum(sizes)
-    for j in range(width):
-        has = np.flatnonzero(sizes > j)
-        sym[j, has] = flat[ends[has] - 1 - j].astype(np.uint16) + 1
-    # the rows of empty suffixes, one a string, in the strings' order
-    bwt = sym[0].copy() if width else np.zeros(m, np.uint16)
-    lcp = np.zeros(m, np.uint8)
-    owner = np.arange(m, dtype=np.int32)
-    length = np.zeros(m, np.uint8)
-    fresh = np.ones(m, bool)  # the rows that the last round inserted
-    for j in range(1, width + 1):
-        order = np.argsort(bwt, kind="stable")
-        order = order[np.searchsorted(bwt[order], 1) :]  # rows at a string's start lead nowhere
-        # a row's image is new if the row itself came last
-        new = fresh[order]
-        edge = new.copy()
-        edge[1:] |= new[:-1]
-        at = np.flatnonzero(edge)
-        n = len(order)
-        out_l = np.zeros(m + n, np.uint8)
-        out_l[m:][~new] = lcp[m:]
-        k = at[at > 0]
-        k = k[bwt[order[k]] == bwt[order[k - 1]]]
-        changed = np.zeros(n, np.uint8)
-        if len(k):
-            changed[k] = 1 + _least(lcp, order[k - 1] + 1, order[k])
-        out_l[m + at] = changed[at]
-        out_b = np.empty(m + n, np.uint16)
-        out_b[:m] = bwt[:m]
-        out_o = np.empty(m + n, np.int32)
-        out_o[:m] = owner[:m]
-        out_n = np.zeros(m + n, np.uint8)
-        body = out_b[m:]
-        body[~new] = bwt[m:]
-        own = out_o[m:]
-        own[~new] = owner[m:]
-        own[new] = owner[order[new]]
-        size = out_n[m:]
-        size[~new] = length[m:]
-        size[new] = j
-        body[new] = sym[j, own[new]] if j < width else 0
-        bwt, lcp, owner, length = out_b, out_l, out_o, out_n
-        fresh = np.zeros(m + n, bool)
-        fresh[m:] = new
-    return bwt, lcp, owner, length
+    last = np.flatnonzero(sizes > 0)
+    first = np.zeros(m, flat.dtype)
+    first[last] = flat[ends[last] - 1]
+    with tempfile.TemporaryDirectory() as folder:
+        old, new = _Rows(folder, "a", wide), _Rows(folder, "b", wide)
+        # the rows of empty suffixes, one a string, in the strings' order
+        old.write(bwt=first, lcp=np.zeros(m, np.uint8), owner=np.arange(m, dtype=np.int32), length=np.zeros(m, np.uint8), fresh=np.ones(m, bool))
+        for j in range(1, width + 1):
+            bwt, fresh, lcp, owner = (old.read(c) for c in ("bwt", "fresh", "lcp", "owner"))
+            order = np.argsort(bwt, kind="stable")
+            order = order[np.count_nonzero(bwt == 0) :]  # rows at a string's start lead nowhere
+            # a row's image is new if the row itself came last
+            came = fresh[order]
+            where = np.flatnonzero(came)
+            stay = np.flatnonzero(~came) + m
+            where_m = where + m
+            source = order[where]
+            own = owner[source]
+            n = m + len(order)
+            # the symbol before each new suffix, 0 at its string's start
+            before = ends[own] - 1 - j
+            more = before >= (ends - sizes)[own]
+            symbol = np.zeros(len(own), flat.dtype)
+            symbol[more] = flat[before[more]]
+            out = np.empty(n, flat.dtype)
+            out[:m], out[stay], out[where_m] = bwt[:m], bwt[m:], symbol
+            new.write(bwt=out)
+            out = np.zeros(n, np.uint8)
+            out[stay] = lcp[m:]
+            k = np.sort(np.concatenate([where, where + 1]))
+            k = k[(np.diff(k, prepend=-1) > 0) & (k < len(order))]
+            out[k + m] = 0
+            k = k[k > 0]
+            k = k[bwt[order[k]] == bwt[order[k - 1]]]
+            if len(k):
+                out[k + m] = 1 + _least(lcp, order[k - 1] + 1, order[k])
+            new.write(lcp=out)
+            out = np.empty(n, np.int32)
+            out[:m], out[stay], out[where_m] = owner[:m], owner[m:], own
+            new.write(owner=out)
+            out = np.zeros(n, np.uint8)
+            out[stay], out[where_m] = old.read("length")[m:], j
+            new.write(length=out)
+            out = np.zeros(n, bool)
+            out[where_m] = True
+            new.write(fresh=out)
+            old, new = new, old
+        found = tuple(old.read(c) for c in ("bwt", "lcp", "owner", "length"))
+        old.close()
+        new.close()
+    return found
 
 
 def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -239,8 +272,8 @@ def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(strings: list[bytes], order: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(string, start) of all windows but the first of equal ones; ``order`` has a row (rank of its text, place in it) for each string."""
+def repeated(strings: list[np.ndarray], order: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(string, start) of all windows of ``width`` symbols but the first of equal ones; ``order`` has a row (rank of its text, place in it) for each string."""
     _, lcp, owner, length = collection(strings)
     rows = np.flatnonzero(length >= width)
     if not len(rows):
@@ -255,6 +288,73 @@ def repeated(strings: list[bytes], order: np.ndarray, width: int = WIDTH) -> tup
     return own[by][later], start[by][later]
 
 
+def _symbols(strings: list[bytes], grams: np.ndarray, width: int) -> tuple[list[np.ndarray | None], np.ndarray, np.ndarray]:
+    """(strings of symbols, raw, out): the strings with their gram, which all their windows hold, as one symbol of its own.
+
+    raw: strings of a gram that some string holds twice; they keep their bytes as symbols, since equal windows may be aligned unlike.
+    out: strings that cannot share a window with another. A shared window reaches ``half`` bytes
+    from the gram on one side at least, so two strings that share it agree there.
+    """
+    import xxhash
+
+    m = len(strings)
+    sizes = np.fromiter(map(len, strings), np.int64, m)
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(m), sizes)[: len(data) - GRAM + 1]
+    place = np.flatnonzero((_grams(data) >> _U(12)).astype(np.int64) == grams[owner])
+    own = owner[place]
+    inside = place - begin[own] <= sizes[own] - GRAM
+    place, own = place[inside], own[inside]
+    raw = np.bincount(own, minlength=m) != 1
+    raw = np.isin(grams, grams[raw])
+    at = np.zeros(m, np.int64)
+    at[own] = place - begin[own]
+    half, of = -(-(width - GRAM) // 2), xxhash.xxh3_64_intdigest
+    keys = np.zeros((2, m), np.uint64)
+    seen: dict[bytes, int] = {}
+    number = np.zeros(m, np.int64)
+    for i in np.flatnonzero(~raw).tolist():
+        s, p = strings[i], int(at[i])
+        gram = s[p : p + GRAM]
+        number[i] = k = seen.setdefault(gram, len(seen))
+        if half and p >= half:
+            keys[0, i] = of(s[p - half : p], k)
+        if half and len(s) - p - GRAM >= half:
+            keys[1, i] = of(s[p + GRAM : p + GRAM + half], k)
+    alone = np.ones(m, bool)
+    for key in keys:
+        _, back, n = np.unique(key, return_inverse=True, return_counts=True)
+        alone &= (n[back] == 1) | (key == 0)
+    out = ~raw & alone & bool(half)
+    kind = np.uint16 if len(seen) + 257 < 1 << 16 else np.uint32
+    flat = data.astype(kind) + kind(1)
+    made: list[np.ndarray | None] = []
+    for i, (b, n) in enumerate(zip(begin.tolist(), sizes.tolist())):
+        if raw[i]:
+            made.append(flat[b : b + n])
+        elif out[i]:
+            made.append(None)
+        else:
+            p = b + int(at[i])
+            flat[p] = 257 + number[i]
+            made.append(np.concatenate([flat[b : p + 1], flat[p + GRAM : b + n]]))
+    return made, raw, out
+
+
+def settled(strings: list[bytes], grams: np.ndarray, order: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """What ``repeated`` finds, in (string, start) order, for strings all of whose windows hold the string's gram."""
+    made, raw, out = _symbols(strings, grams, width)
+    found = []
+    for part, size in ((np.flatnonzero(~raw & ~out), width - GRAM + 1), (np.flatnonzero(raw), width)):
+        if len(part):
+            own, start = repeated([made[i] for i in part.tolist()], order[part], size)
+            found.append((part[own], start))
+    own, start = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+    by = np.lexsort((start, own))
+    return own[by], start[by]
+
+
 def _merge(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     """The union of spans, as maximal ones that neither touch nor overlap."""
     if not len(start):
@@ -317,7 +417,7 @@ def removed_spans(docs: DataFrame, width: int = WIDTH, hot: int = HOT, size: int
 
     def settle(t: pa.Table) -> pa.Table:
         # rows that repeat an id and a text bring the same strings: once is enough
-        t = t.group_by(["doc", "part", "a", "s"]).aggregate([])
+        t = t.group_by(["h", "doc", "part", "a", "s"]).aggregate([])
         s = t.column("s").to_pylist()
         doc, part, a = (t.column(c).to_numpy() for c in ("doc", "part", "a"))
         by = np.lexsort((part, doc))
@@ -325,9 +425,7 @@ def removed_spans(docs: DataFrame, width: int = WIDTH, hot: int = HOT, size: int
         new = np.ones(len(by), bool)
         new[1:] = (doc[by][1:] != doc[by][:-1]) | (part[by][1:] != part[by][:-1])
         rank[by] = np.cumsum(new)
-        own, start = repeated(s, np.stack([rank, a], 1), width)
-        by = np.lexsort((start, own))
-        own, start = own[by], start[by]
+        own, start = settled(s, t.column("h").to_numpy(), np.stack([rank, a], 1), width)
         if not len(own):
             return pa.table({c: pa.array([], pa.int64()) for c in ("doc", "part", "a", "e")})
         new = np.ones(len(own), bool)
@@ -338,7 +436,7 @@ def removed_spans(docs: DataFrame, width: int = WIDTH, hot: int = HOT, size: int
         return pa.table({"doc": doc[o], "part": part[o], "a": a[o] + start[i], "e": a[o] + start[j] + width})
 
     bucket = F.pmod(F.xxhash64("h"), F.lit(parts)).alias("bucket")
-    cold = found.where("h >= 0").select("doc", "part", "a", "s", bucket).groupBy("bucket").applyInArrow(lambda t: settle(t.select(["doc", "part", "a", "s"])), "doc long, part long, a long, e long")
+    cold = found.where("h >= 0").select("h", "doc", "part", "a", "s", bucket).groupBy("bucket").applyInArrow(lambda t: settle(t.select(["h", "doc", "part", "a", "s"])), "doc long, part long, a long, e long")
     spans = done.unionByName(written(cold, "spans"))
     if n.get(2):
         w = found.where("h < 0").select("doc", "part", "a", "s").distinct()

@@ -75,7 +75,7 @@ def test_other_widths(docs_of, width):
 def test_collection_is_the_transform():
     r = random.Random(5)
     strings = [bytes(r.choices(b"ab", k=r.randrange(1, 40))) for _ in range(60)]
-    bwt, lcp, owner, length = sd.collection(strings)
+    bwt, lcp, owner, length = sd.collection([np.frombuffer(s, np.uint8).astype(np.uint16) + np.uint16(1) for s in strings])
     rows = sorted(((strings[i][len(strings[i]) - n :], i, n) for i in range(60) for n in range(len(strings[i]) + 1)), key=lambda x: (x[0], x[1]))
     assert [(int(o), int(n)) for o, n in zip(owner, length)] == [(i, n) for _, i, n in rows]
     assert [int(b) for b in bwt] == [strings[i][-n - 1] + 1 if n < len(strings[i]) else 0 for _, i, n in rows]
