@@ -1,0 +1,86 @@
+"""A run over a folder: list, measure, decide, group, record. ``python -m framesift.cull FOLDER`` does it from a shell."""
+
+from __future__ import annotations
+
+import argparse
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from . import schema as S
+from .functions import measure, triage
+from .operators import bursts, cache, report, stats
+from .sources import photos
+
+
+@dataclass
+class Config:
+    """Settings of a run; numbers below their floor are raised to it."""
+
+    extensions: tuple[str, ...] = S.PHOTO_EXTENSIONS
+    recursive: bool = True
+    grouping: bool = True
+    burst_gap_seconds: float = S.BURST_GAP_SECONDS
+    cache_dir: str | None = None
+
+    def __post_init__(self):
+        self.burst_gap_seconds = max(0.0, float(self.burst_gap_seconds))
+
+
+def fast(spark: SparkSession, folder: str, config: Config = Config()) -> DataFrame:
+    """Decisions from measurements alone, which never delete; files that cannot be decoded are Failed.
+
+    With a cache folder only frames whose key is new are measured; their results, failures apart, are added to it before bursts are looked for.
+    """
+    listed = photos.scan(spark, folder, config.extensions, config.recursive)
+    listed = listed.withColumn("cache_key", cache.cache_key(F.col("path"), F.col("modificationTime"), mode="fast"))
+    times = photos.capture_times(spark, folder, config.extensions, config.recursive)
+    seen = measure.measure(photos.pixels(spark, folder, config.recursive))
+    old = None
+    if config.cache_dir:
+        try:
+            old = spark.read.parquet(config.cache_dir)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    todo = listed if old is None else cache.work_list(listed, old)
+    df = todo.join(times, "path").join(seen, "path", "left").withColumnRenamed("path", "filepath")
+    df = df.withColumn("filename", F.regexp_extract("filepath", r"([^/]*)$", 1)).withColumn("_t", triage.fast_triage(F.col("cv_sharpness"), F.coalesce("exposure", F.lit("good"))))
+    df = df.withColumns({"subject_sharpness": F.col("_t.subject_sharpness"), "verdict": F.col("_t.verdict"), "exposure": F.coalesce("exposure", F.lit("good")), "framing": F.lit("fine"), "subject": F.lit(""),
+                         "technical_issues": F.array().cast("array<string>"), "verdict_reason": F.lit(""), "keywords": F.array().cast("array<string>"), "description": F.lit(""), "processing_ms": F.lit(0.0)}).drop("_t")
+    df = triage.decide(triage.scores(df))
+    failed = F.col("peak_tile_var").isNull()
+    df = df.withColumns({"decision": F.when(failed, "Failed").otherwise(F.col("decision")), "confidence": F.when(failed, 0.0).otherwise(F.col("confidence")),
+                         "issues": F.when(failed, F.array(F.lit("could not be decoded"))).otherwise(F.col("issues"))})
+    if config.cache_dir:
+        df = df.persist()
+        cache.to_cache(df, config.cache_dir)
+        kept = spark.read.parquet(config.cache_dir).join(listed.select("cache_key"), "cache_key", "left_semi").dropDuplicates(["cache_key"])
+        df = kept.unionByName(df.where("decision = 'Failed'"))
+    if not config.grouping:
+        return df.withColumns({"group_id": F.lit(None).cast("long"), "group_size": F.lit(1), "is_best_of_group": F.lit(True), "duplicate_of": F.lit(None).cast("string"), "demoted": F.lit(False)})
+    return bursts.annotate(df, config.burst_gap_seconds)
+
+
+def main(argv: list[str] | None = None) -> int:
+    p = argparse.ArgumentParser(description=__doc__)
+    p.add_argument("folder")
+    p.add_argument("--extensions")
+    p.add_argument("--no-recursive", action="store_true")
+    p.add_argument("--no-grouping", action="store_true")
+    p.add_argument("--cache-dir")
+    p.add_argument("--csv", help="folder for the run record")
+    p.add_argument("--timestamp", default="")
+    a = p.parse_args(argv)
+    spark = SparkSession.builder.appName("framesift").getOrCreate()
+    out = fast(spark, a.folder, Config(photos.extensions(a.extensions), not a.no_recursive, not a.no_grouping, cache_dir=a.cache_dir)).persist()
+    if a.csv:
+        report.write_csv(out, a.csv, a.timestamp)
+    for r in stats.decision_counts(out).collect():  # four rows at most
+        print(f"{r['decision']:8} {r['n']:8} {r['percent']:6.1f} %")
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

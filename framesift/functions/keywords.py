@@ -22,10 +22,11 @@ def own(keyword: Column) -> Column:
 
 
 def deduplicated(keywords: Column) -> Column:
-    """The first spelling of each keyword, compared without case and outer white space; blanks go."""
-    key = lambda x: F.lower(stripped(x))
-    first = lambda keys: lambda x, i: (F.get(keys, i) != "") & (F.array_position(keys, F.get(keys, i)) == i + 1)
-    return let(keywords, lambda all_: let(F.transform(all_, key), lambda keys: F.filter(all_, first(keys))))
+    """The first spelling of each keyword, compared without case and outer white space; blanks go. Two sorts, so long lists cost no square."""
+    tag = lambda x, i: F.struct(F.lower(stripped(x)).alias("k"), i.alias("i"), x.alias("x"))
+    first = lambda s: F.filter(s, lambda e, i: (e["k"] != "") & ~F.coalesce(F.get(s, i - 1)["k"] == e["k"], F.lit(False)))
+    by_place = lambda s: F.array_sort(F.transform(first(s), lambda e: F.struct(e["i"], e["x"])))
+    return let(F.array_sort(F.transform(F.array_compact(keywords), tag)), lambda s: F.transform(by_place(s), lambda e: e["x"]))
 
 
 def issues_text() -> Column:

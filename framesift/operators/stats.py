@@ -69,3 +69,19 @@ def choose_model(installed: DataFrame, families=S.MODEL_FAMILIES) -> DataFrame:
     low = F.lower("name")
     rank = F.coalesce(*[F.when(low.startswith(f), i) for i, f in enumerate(families)])
     return installed.withColumn("_r", rank).where("_r is not null").orderBy("_r", ~low.contains("instruct"), "name").limit(1).select("name")
+
+
+def session_summary(df: DataFrame) -> DataFrame:
+    """One row: totals, averages of frames that have not failed, and the most frequent keywords and subjects as arrays."""
+    listed = lambda top, c: top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), c))), lambda x: x[c]).alias(f"top_{c}s"))  # noqa: E731  five rows and three
+    one = lambda x: x.withColumn("_one", F.lit(1))  # noqa: E731  each is a single row
+    return one(run_statistics(df)).join(one(listed(top_keywords(df), "keyword")), "_one").join(one(listed(top_subjects(df), "subject")), "_one").drop("_one")
+
+
+def save_session(df: DataFrame, folder: str) -> None:
+    """The summary as JSON; nothing is written for a run without frames."""
+    session_summary(df).where("total_images > 0").write.mode("overwrite").json(folder)
+
+
+def outcomes(written: DataFrame) -> DataFrame:
+    return written.groupBy("outcome").agg(F.count("*").alias("n"))

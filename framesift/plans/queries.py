@@ -68,12 +68,12 @@ def _clean(spark, d):
 
 def _dedupe(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", _joined(K.deduplicated(F.split(F.substring_index("text", "\n", 1), " ")), " ").alias("words"))
+    return docs.select("doc_id", _joined(K.deduplicated(F.split("text", "[ \n]")), " ").alias("words"))
 
 
 def _clean_docs(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", _joined(K.clean(F.split(F.substring_index("text", "\n", 1), " ")), ", ").alias("keywords"))
+    return docs.select("doc_id", _joined(K.clean(F.split("text", "[ \n]")), ", ").alias("keywords"))
 
 
 def _merge(spark, d):
@@ -279,7 +279,10 @@ j AS (SELECT s.*, coalesce(nullif(o1.m, path), nullif(o2.m, path)) AS original,
   LEFT JOIN o o2 ON o2.folder = s.folder AND o2.k = lower(regexp_replace(stem, {_q(resolve.DERIVED)}, '')) LEFT JOIN rd ON rd.folder = s.folder AND rd.k = lower(stem)),
 r AS (SELECT path AS received, name, CASE WHEN suffix IN {S.SIDECAR_EXTENSIONS} THEN coalesce(original, render) WHEN suffix IN {S.RENDER_EXTENSIONS + S.AMBIGUOUS_EXTENSIONS} THEN coalesce(original, path)
   WHEN suffix IN {S.RAW_EXTENSIONS + S.HEIF_EXTENSIONS} THEN path END AS photo FROM j)"""
-_DOCW = "(SELECT doc_id, string_split(string_split(text, chr(10))[1], ' ') AS w FROM documents)"
+_DOCW = """WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split_regex(text, '[ \n]') AS w FROM documents),
+t AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d), k AS (SELECT r, i, x, {key} AS k FROM t),
+f AS (SELECT r, k, min(i) AS i, arg_min(x, i) AS x FROM k WHERE k <> '' GROUP BY r, k)"""
+_CLEANED = f"regexp_replace(trim(lower(regexp_replace(translate(x, '_-', '  '), '\\s+', ' ', 'g')), ' '), {_q(K.PUNCTUATION)}, '', 'g')"
 _TRUTH = "(SELECT doc_id AS photo_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'original' WHEN toxic = 0 THEN 'defocus' WHEN quality = 1 THEN 'underexposed' ELSE 'overexposed' END AS kind FROM labels)"
 _EXP = "CASE WHEN blown_fraction >= 0.15 OR cv_sharpness >= 0.92 THEN 'badly_over' WHEN crushed_fraction >= 0.15 OR cv_sharpness <= 0.10 THEN 'badly_under' WHEN blown_fraction >= 0.05 OR crushed_fraction >= 0.05 THEN 'slightly_off' ELSE 'good' END"
 _SS = "least(1, greatest(0, (log10(greatest(v, 1e-6)) - log10(10)) / (log10(2000) - log10(10))))"
@@ -303,8 +306,8 @@ ORACLES = {
     "decide": _BASE + "SELECT photo_id, decision, confidence, array_to_string(issues, '; ') AS issues FROM decided",
     "rating": _BASE + "SELECT photo_id, CAST(rating AS INTEGER) AS rating FROM decided",
     "clean_keywords": _BASE + "SELECT photo_id, array_to_string(keywords, ', ') AS keywords FROM decided",
-    "clean_keywords_text": f"SELECT doc_id, array_to_string({_sql_clean('w')}, ', ') AS keywords FROM {_DOCW}",
-    "dedupe_keywords": f"SELECT doc_id, array_to_string({_sql_dedupe('w')}, ' ') AS words FROM {_DOCW}",
+    "clean_keywords_text": _DOCW.format(key=_CLEANED) + f" SELECT doc_id, coalesce(s, '') AS keywords FROM d LEFT JOIN (SELECT r, string_agg(k, ', ' ORDER BY i) AS s FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY r ORDER BY i) <= {S.KEYWORD_LIMIT}) GROUP BY r) USING (r)",
+    "dedupe_keywords": _DOCW.format(key=_key("x")) + " SELECT doc_id, coalesce(s, '') AS words FROM d LEFT JOIN (SELECT r, string_agg(x, ' ' ORDER BY i) AS s FROM f GROUP BY r) USING (r)",
     "merge_keywords": _A + f"SELECT photo_id, array_to_string({_MERGED(_KEPT)}, ', ') AS keywords, array_to_string({_MERGED('')}, ', ') AS overridden FROM own",
     "decision_keywords": _A + "SELECT photo_id, array_to_string(own_keywords, ', ') AS keywords FROM own",
     "hamming_pairs": _BASE + f"SELECT a.photo_id, CAST({_HAM.format('a', 'b')} AS INTEGER) AS distance FROM photos a JOIN photos b ON a.photo_id = b.photo_id + 1",
