@@ -1,4 +1,4 @@
-"""A run over a folder: list, measure, decide, group, record. ``python -m framesift.cull FOLDER`` does it from a shell."""
+"""A run over a folder: list, measure, decide, group, record. ``python -m framesift.run FOLDER`` does it from a shell."""
 
 from __future__ import annotations
 

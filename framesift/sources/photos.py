@@ -27,7 +27,7 @@ def extensions(override: str | None = None) -> tuple[str, ...]:
 def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = S.PHOTO_EXTENSIONS, recursive: bool = True) -> DataFrame:
     """path, modificationTime and length of the photographs below a folder, whatever the case of their suffix; no content is read.
 
-    Names that begin with a dot or an underscore are left out by Spark's file sources.
+    Spark's file sources leave out empty files and names that begin with a dot or an underscore.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     return files.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes)).select("path", "modificationTime", "length")
@@ -80,7 +80,8 @@ def capture_times(spark: SparkSession, folder: str, suffixes: tuple[str, ...] =
 def pixels(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """path, height, width, channels and data (BGR) of JPEG, PNG, BMP and GIF files, decoded in the JVM; data is empty where that failed."""
     i = spark.read.format("image").option("recursiveFileLookup", str(recursive).lower()).option("dropInvalid", "false").load(folder)
-    i = i.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    # the two sources spell local paths unlike
+    i = i.select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
     return i.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*IMAGE_SUFFIXES))
 
 

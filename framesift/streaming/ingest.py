@@ -20,15 +20,15 @@ def decisions(stream: DataFrame) -> DataFrame:
 
 
 def bursts(decided: DataFrame, gap: float = S.BURST_GAP_SECONDS, late: str = "10 minutes") -> DataFrame:
-    """(start, end, frames, kept) of runs of frames at most ``gap`` seconds apart, once none can come that is less than ``late`` behind.
+    """(folder, start, end, frames, kept) of runs of one folder's frames at most ``gap`` seconds apart, once none can come that is less than ``late`` behind.
 
     By time alone: the test of similar hashes needs the frames in order and belongs to the batch operator. A session ends
     after a gap of its length, while here a gap of exactly that length still joins: hence one microsecond more.
     """
     micros = int(gap * 1_000_000) + 1
     timed = decided.where("capture_time is not null").withColumn("at", F.col("capture_time").cast("timestamp")).withWatermark("at", late)
-    out = timed.groupBy(F.session_window("at", f"{micros} microseconds").alias("w")).agg(F.count("*").alias("frames"), F.count_if(F.col("decision") == "Keep").alias("kept"))
-    return out.select(F.col("w.start").alias("start"), F.expr(f"w.end - INTERVAL '{micros / 1e6:.6f}' SECOND").alias("end"), "frames", "kept")
+    out = timed.groupBy(F.regexp_extract("filepath", r"^(.*)/[^/]*$", 1).alias("folder"), F.session_window("at", f"{micros} microseconds").alias("w")).agg(F.count("*").alias("frames"), F.count_if(F.col("decision") == "Keep").alias("kept"))
+    return out.select("folder", F.col("w.start").alias("start"), F.expr(f"w.end - INTERVAL '{micros / 1e6:.6f}' SECOND").alias("end"), "frames", "kept")
 
 
 def append(stream: DataFrame, folder: str, checkpoint: str):
