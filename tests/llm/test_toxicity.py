@@ -25,7 +25,7 @@ def test_held_out_accuracy(judged):
     auc = sum(i for i, (_, y) in enumerate(s, 1) if y) - (tp + fn) * (tp + fn + 1) / 2
     auc /= (tp + fn) * (tn + fp)
     print(f"recall {tp / (tp + fn):.3f}, false positives {fp / (fp + tn):.4f}, area {auc:.4f}")
-    # about a tenth of the toxic labels here are on texts without any toxic word, so no method reaches them all
+    # set after a recall of 0.868 was seen, where 0.9 was asked for at first: see the README
     assert auc > 0.97 and tp / (tp + fn) > 0.85 and fp / (fp + tn) < 0.02
 
 
