@@ -80,6 +80,8 @@ RULES = (
 BREAK = r"\n+|[.!?;][ \t\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HINT = "licen|copyright|permission|redistribution|public domain|warrant|rights reserved|lgpl|gpl|cc0|cc[ -]by|creative commons|apache|mpl|later version|neither the name|obtain a copy|" + r"\(c\)"
+#: HINT for texts that are not normalised: anything but letters and digits may stand where a normal sentence has a space.
+WIDE_HINT = HINT.replace("cc[ -]by", "cc by").replace(" ", "[^a-z0-9]+")
 
 
 def _normal(s: Column) -> Column:
@@ -101,7 +103,7 @@ def scan(docs: DataFrame, sentences=SENTENCES, rules=RULES) -> DataFrame:
         return out
 
     def ids(t: Column) -> Column:
-        found = F.filter(F.split(t, BREAK), lambda s: s.rlike(HINT))
+        found = F.filter(F.split(t, BREAK), lambda s: s.rlike(WIDE_HINT))
         return F.filter(F.transform(F.transform(found, _normal), known), lambda x: x.isNotNull())
 
     def apply(x: Column) -> Column:
@@ -113,7 +115,7 @@ def scan(docs: DataFrame, sentences=SENTENCES, rules=RULES) -> DataFrame:
         return F.when(F.size(x) > 0, F.array_join(F.array_distinct(F.aggregate(table, start, step, lambda a: a["found"])), ",")).otherwise("")
 
     text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    low = F.when(F.col("text").rlike("(?i)" + HINT), text).otherwise("")
+    low = F.when(F.col("text").rlike("(?i)" + WIDE_HINT), text).otherwise("")
     return pick(docs, "doc_id", "text").select("doc_id", let(low, lambda t: let(ids(t), lambda x: F.struct(
         F.size(x).cast("long").alias("n_sentences"), F.array_join(x, ",").alias("sentence_ids"), apply(x).alias("licenses")))).alias("s")).select("doc_id", "s.*")
 
