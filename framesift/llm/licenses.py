@@ -76,16 +76,24 @@ RULES = (
     ("Public-domain", r",PublicDomain,"),
     ("Proprietary", r",CopyrightLine,AllRights,|,AllRights,"),
 )
-#: A sentence ends at a line's end, or at . ! ? ; before white space.
+#: The SQL's sentences end at a line's end, or at . ! ? ; before white space; so do those of ``scan`` where texts are not wrapped.
 BREAK = r"\n+|[.!?;][ \t\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HINT = "licen|copyright|permission|redistribution|public domain|warrant|rights reserved|lgpl|gpl|cc0|cc[ -]by|creative commons|apache|mpl|later version|neither the name|obtain a copy|" + r"\(c\)"
+
 #: HINT for texts that are not normalised: anything but letters and digits may stand where a normal sentence has a space.
 WIDE_HINT = HINT.replace("cc[ -]by", "cc by").replace(" ", "[^a-z0-9]+")
+#: Lines that are sentences of their own: a title, a copyright line with its year.
+ALONE = r"(?m)^[ \t#*/-]*(?:(?:the )?mit license|all rights reserved\.?|(?:copyright|\(c\))[^\n]*\b[12][0-9]{3}\b[^\n]*)[ \t\r]*$"
+#: A single line end is white space, except before what begins a known sentence; "or any later version" is a sentence of its own.
+WRAPPED_BREAK = (r"\n[ \t\r]*\n\s*|[.!?;]\s+|\n(?=[ \t\r#*/-]*(?:\d+[.)][ \t]+)?(?:permission (?:is hereby granted|to use)|redistributions? (?:and use|of source|in binary)|neither the name of"
+                 r"|the above copyright notice and|you may (?:not use|obtain)|this is free and unencumbered|all rights reserved|(?:or )?(?:\(?at your option\)? )?any later version))"
+                 r"|,?\s+(?=or\s+(?:\(?at\s+your\s+option\)?\s+)?any\s+later\s+version)")
 
 
 def _normal(s: Column) -> Column:
-    s = F.regexp_replace(s, r"[^a-z0-9.,()/+ -]+", " ")
+    """One space between words; brackets go, but for (c)."""
+    s = F.regexp_replace(s, r"[^a-z0-9.,()/+ -]+|\((?!c\))|(?<!\(c)\)", " ")
     return F.regexp_replace(F.regexp_replace(s, r" +", " "), r"^[ .,]+|[ .,]+$", "")
 
 
@@ -103,7 +111,7 @@ def scan(docs: DataFrame, sentences=SENTENCES, rules=RULES) -> DataFrame:
         return out
 
     def ids(t: Column) -> Column:
-        found = F.filter(F.split(t, BREAK), lambda s: s.rlike(WIDE_HINT))
+        found = F.filter(F.split(F.regexp_replace(t, ALONE, "\n\n$0\n\n"), WRAPPED_BREAK), lambda s: s.rlike(WIDE_HINT))
         return F.filter(F.transform(F.transform(found, _normal), known), lambda x: x.isNotNull())
 
     def apply(x: Column) -> Column:

@@ -1,5 +1,20 @@
+import pytest
+
 from framesift.llm import licenses
 
+WRAPPED = {
+    "MIT": 'MIT License\n\nCopyright (c) 2020 A Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction.\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.',
+    "BSD-3-Clause": "Copyright (c) 2020, A Person\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions.\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products.",
+    "ISC": "Copyright 2020 A Person\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.",
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_wrapped_texts(docs_of, name):
+    rows = [(1, WRAPPED[name]), (2, WRAPPED[name].replace("\n", "\r\n")), (3, "\n".join(" * " + x for x in WRAPPED[name].split("\n")))]
+    assert {r["doc_id"]: r["licenses"] for r in licenses.scan(docs_of(rows)).collect()} == {1: name, 2: name, 3: name}
+
 
 def test_hints_are_no_filter(docs_of):
     rows = [(1, "All  rights\u00a0reserved"), (2, "Creative\u00a0Commons Attribution 4.0"), (3, "dedicated to the public\tdomain"), (4, "some words\nCopyright 2020 A\nmore words")]
