@@ -62,7 +62,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star, each a shuffle with a map-side minimum,
     and writes the edges to the shared folder after each pair, so nothing of the
     graph reaches the driver but two sums that tell whether the edges changed. The number
-    of edges never grows. Loops are ignored; no edges give no rows.
+    of edges never grows. Loops are ignored; no edges give no rows. Raises where ``rounds`` do not suffice.
     """
     spark = edges.sparkSession
     cur = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -82,5 +82,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
