@@ -79,7 +79,9 @@ def measure(images: DataFrame) -> DataFrame:
         for b in batches:
             names = b.schema.names
             out = []
-            for h, w, c, data in zip(*(b.column(names.index(n)).to_pylist() for n in ("height", "width", "channels", "data"))):
+            # one picture at a time: a batch of large ones would be gigabytes as Python objects
+            for k in range(b.num_rows):
+                h, w, c, data = (b.column(names.index(n))[k].as_py() for n in ("height", "width", "channels", "data"))
                 ok = data and h and w and len(data) == h * w * c
                 out.append(measured(np.frombuffer(data, np.uint8).reshape(h, w, c)) if ok else (None,) * 8)
             cols = [pa.array(x, k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
@@ -88,4 +90,4 @@ def measure(images: DataFrame) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [_COLUMNS])
     df = images.mapInArrow(of, schema)
     return df.withColumns({"cv_sharpness": F.when(F.col("peak_tile_var").isNotNull(), sharpness_score(F.col("peak_tile_var"))),
-                           "exposure": exposure_category(F.col("blown_fraction"), F.col("crushed_fraction"), F.col("mean_level"))})
+                           "exposure": exposure_category(F.col("blown_fraction"), F.col("crushed_fraction"), F.col("mean_level")), "exposure_available": F.col("mean_level").isNotNull()})

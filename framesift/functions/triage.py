@@ -42,6 +42,13 @@ def exposure_category(blown: Column, crushed: Column, mean: Column) -> Column:
             .when((blown >= S.MILD_CLIP) | (crushed >= S.MILD_CLIP), "slightly_off").otherwise("good"))
 
 
+def exposure_stats(blown: Column, crushed: Column, mean: Column, contrast: Column) -> Column:
+    """The measurement as a struct; a failed one (null mean) reads as a good exposure of middle grey, marked as not available."""
+    known = mean.isNotNull()
+    return F.struct(F.when(known, exposure_category(blown, crushed, mean)).otherwise("good").alias("category"), F.coalesce(blown, F.lit(0.0)).alias("blown_fraction"),
+                    F.coalesce(crushed, F.lit(0.0)).alias("crushed_fraction"), F.coalesce(mean, F.lit(0.5)).alias("mean_level"), F.coalesce(contrast, F.lit(0.0)).alias("contrast"), known.alias("available"))
+
+
 def is_severe(available: Column, category: Column) -> Column:
     return F.coalesce(available & category.isin("badly_over", "badly_under"), F.lit(False))
 

@@ -1,64 +1,49 @@
-"""Bursts of near-simultaneous, similar frames: two-level scan, best frames, demotion."""
+"""Bursts of near-simultaneous, similar frames: runs in time order, best frames, demotion."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema as S
 from ..functions.triage import hamming
+from . import ranges
 
+_ORDER = ["capture_time", "filename", "filepath"]
 
 
-def _order() -> list:
-    return ["capture_time", "filename", "filepath"]
-
-
-def _broken(prev: str, gap: float, similar: int):
-    apart = ~F.coalesce(F.col("capture_time") - F.col(f"{prev}.t") <= F.expr(f"INTERVAL '{gap}' SECOND"), F.lit(False))
-    distance = hamming(F.col(f"{prev}.hi"), F.col(f"{prev}.lo"), F.col("phash_hi"), F.col("phash_lo"))
-    return apart | F.coalesce(distance > similar, F.lit(False))
-
-
-def groups(df: DataFrame, gap: float = S.BURST_GAP_SECONDS, similar: int = S.SIMILAR, unit: str = "day") -> DataFrame:
+def groups(df: DataFrame, gap: float = S.BURST_GAP_SECONDS, similar: int = S.SIMILAR, rows: int = ranges.ROWS) -> DataFrame:
     """Adds group_id to the frames that have not failed, which alone are returned.
 
     In the order of capture time (none last), name and path, a frame joins its predecessor's burst if both times are known and
-    at most ``gap`` seconds apart, and the hashes, where both are known, differ in at most ``similar`` bits. One window over all frames would be one
-    task; instead frames are ordered in buckets of a day (``unit``), and a table with a row for each bucket carries
-    the last frame and the number of groups from one bucket to the next.
+    at most ``gap`` seconds apart, and the hashes, where both are known, differ in at most ``similar`` bits. Frames are ordered in ranges of about
+    ``rows``, whatever day they are of and whether their time is known, so a shoot of one day or without times is many tasks.
     """
-    df = df.where("decision is null or decision <> 'Failed'").withColumn("_b", F.date_trunc(unit, F.col("capture_time")))
+
+    def parted(a: Column, b: Column) -> Column:
+        close = F.coalesce(b["t"] - a["t"] <= F.expr(f"INTERVAL '{gap}' SECOND"), F.lit(False))
+        return ~close | F.coalesce(hamming(a["hi"], a["lo"], b["hi"], b["lo"]) > similar, F.lit(False))
+
     own = F.struct(F.col("capture_time").alias("t"), F.col("phash_hi").alias("hi"), F.col("phash_lo").alias("lo"))
-    last = df.where("_b is not null").groupBy("_b").agg(F.max_by(own, F.struct(*_order())).alias("last"))
-    over = Window.orderBy("_b")  # over buckets, not frames
-    before = last.select("_b", F.lag("last").over(over).alias("prev"))
-    w = Window.partitionBy("_b").orderBy(*_order())
-    flagged = df.withColumn("_n", F.row_number().over(w)).withColumn("_lag", F.lag(own).over(w))
-    flagged = flagged.join(before, "_b", "left")
-    flagged = flagged.withColumn("_p", F.when(F.col("_n") == 1, F.col("prev")).otherwise(F.col("_lag")))
-    flagged = flagged.withColumn("_new", F.when(F.col("_p").isNull() | _broken("_p", gap, similar), 1).otherwise(0)).drop("prev", "_lag", "_p")
-    counts = flagged.groupBy("_b").agg(F.sum("_new").alias("c"))
-    offset = counts.select(F.col("_b").alias("_ob"), (F.sum("c").over(Window.orderBy(F.col("_b").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("_off"))
-    run = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = flagged.withColumn("_run", run).join(offset, F.col("_b").eqNullSafe(F.col("_ob")))
-    return out.withColumn("group_id", (F.col("_off") + F.col("_run") - 1).cast("long")).drop("_b", "_n", "_new", "_run", "_ob", "_off")
-
-
-def _quality() -> list:
+    return ranges.runs(df.where("decision is null or decision <> 'Failed'"), _ORDER, own, parted, "group_id", rows)
+
+
+def _quality() -> Column:
+    """What makes a frame better than another of its burst, as a struct whose minimum is the best."""
     rank = lambda c, table, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.coalesce(F.col(c), F.lit(""))), F.lit(other))
-    return [rank("decision", S.VERDICT_RANK, 3), rank("subject_sharpness", S.SHARPNESS_RANK, 2), F.coalesce("cv_sharpness", F.lit(0.0)).desc(),
-            F.when(F.col("exposure") == "good", 0).otherwise(1), F.col("overall_quality").desc(), F.col("filename"), F.col("filepath")]
+    return F.struct(rank("decision", S.VERDICT_RANK, 3).alias("q1"), rank("subject_sharpness", S.SHARPNESS_RANK, 2).alias("q2"), (-F.coalesce("cv_sharpness", F.lit(0.0))).alias("q3"),
+                    F.when(F.col("exposure") == "good", 0).otherwise(1).alias("q4"), F.col("overall_quality").isNull().alias("q5"), (-F.col("overall_quality")).alias("q6"), F.col("filename").alias("q7"), F.col("filepath").alias("q8"))
 
 
-def annotate(df: DataFrame, gap: float = S.BURST_GAP_SECONDS, similar: int = S.SIMILAR, near: int = S.NEAR_IDENTICAL, demote: bool = True) -> DataFrame:
+def annotate(df: DataFrame, gap: float = S.BURST_GAP_SECONDS, similar: int = S.SIMILAR, near: int = S.NEAR_IDENTICAL, demote: bool = True, rows: int = ranges.ROWS) -> DataFrame:
     """df with group_id, group_size, is_best_of_group and duplicate_of; frames kept but not the best of a burst go to Review.
 
-    Failed frames keep the defaults: no group, size one, best. Needs decision, confidence and issues.
+    Failed frames keep the defaults: no group, size one, best. Needs decision, confidence and issues. Size and best of a burst are sums and
+    minima taken before the shuffle, so a burst of any length is one row a task; rows that repeat a path are one frame and share its fate.
     """
-    best, whole = Window.partitionBy("group_id").orderBy(*_quality()), Window.partitionBy("group_id")
-    first = F.struct(F.col("filename").alias("name"), F.col("phash_hi").alias("hi"), F.col("phash_lo").alias("lo"))
-    g = groups(df, gap, similar).withColumn("_rank", F.row_number().over(best)).withColumn("_best", F.first(first).over(best)).withColumn("group_size", F.count("*").over(whole).cast("int"))
-    g = g.withColumn("is_best_of_group", F.col("_rank") == 1)
+    g = groups(df, gap, similar, rows)
+    best = F.min_by(F.struct(F.col("filename").alias("name"), F.col("filepath").alias("path"), F.col("phash_hi").alias("hi"), F.col("phash_lo").alias("lo")), _quality())
+    each = g.groupBy("group_id").agg(best.alias("_best"), F.count("*").cast("int").alias("group_size"))
+    g = g.join(each, "group_id").withColumn("is_best_of_group", F.col("filepath") == F.col("_best.path"))
     twin = ~F.col("is_best_of_group") & F.coalesce(hamming(F.col("_best.hi"), F.col("_best.lo"), F.col("phash_hi"), F.col("phash_lo")) <= near, F.lit(False))
     g = g.withColumn("duplicate_of", F.when(twin, F.col("_best.name")))
     if demote:
@@ -69,12 +54,19 @@ def annotate(df: DataFrame, gap: float = S.BURST_GAP_SECONDS, similar: int = S.S
         g = g.withColumn("decision", F.when(F.col("_moved"), "Review").otherwise(F.col("decision"))).withColumn("confidence", F.when(F.col("_moved"), F.least("confidence", F.lit(S.DEMOTED_CONFIDENCE))).otherwise(F.col("confidence")))
     else:
         g = g.withColumn("_moved", F.lit(False))
-    g = g.withColumnRenamed("_moved", "demoted").drop("_rank", "_best")
-    failed = df.where("decision = 'Failed'").withColumns({"group_id": F.lit(None).cast("long"), "group_size": F.lit(1), "is_best_of_group": F.lit(True), "duplicate_of": F.lit(None).cast("string"), "demoted": F.lit(False)})
-    return g.unionByName(failed)
+    g = g.withColumnRenamed("_moved", "demoted").drop("_best")
+    return g.unionByName(ungrouped(df.where("decision = 'Failed'")))
+
+
+def ungrouped(df: DataFrame) -> DataFrame:
+    """df with the defaults of frames that are in no burst."""
+    return df.withColumns({"group_id": F.lit(None).cast("long"), "group_size": F.lit(1), "is_best_of_group": F.lit(True), "duplicate_of": F.lit(None).cast("string"), "demoted": F.lit(False)})
 
 
 def summary(annotated: DataFrame) -> DataFrame:
-    return annotated.where("group_id is not null").agg(
-        F.count_distinct("group_id").alias("groups"), F.count_if((F.col("group_size") > 1) & F.col("is_best_of_group")).alias("bursts"),
-        F.count_if("demoted").alias("demoted_to_review"), F.count_if(F.col("duplicate_of").isNotNull()).alias("near_identical"))
+    """One row: groups, bursts of more than one frame, frames demoted, near-identical ones, and whether any frame has a hash to compare."""
+    grouped = F.col("group_id").isNotNull()
+    return annotated.agg(
+        F.count_distinct("group_id").alias("groups"), F.count_if(grouped & (F.col("group_size") > 1) & F.col("is_best_of_group")).alias("bursts"),
+        F.count_if(grouped & F.col("demoted")).alias("demoted_to_review"), F.count_if(grouped & F.col("duplicate_of").isNotNull()).alias("near_identical"),
+        F.coalesce(F.bool_or(grouped & F.col("phash_hi").isNotNull() & F.col("phash_lo").isNotNull()), F.lit(False)).alias("hashing_available"))

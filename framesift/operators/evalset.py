@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .. import schema as S
+from ..functions import png
+from ..sources.files import put
 
 BLUR_RADIUS, UNDER, OVER = 14, 0.13, 3.2
 
@@ -46,3 +49,22 @@ def variants(images: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["path", "kind", "height", "width", "channels", "data"])
 
     return images.where("height > 0").select("path", "height", "width", "channels", "data").mapInArrow(of, "path string, kind string, height int, width int, channels int, data binary")
+
+
+def write(images: DataFrame, folder: str) -> DataFrame:
+    """(filename, kind) of the variants of each picture, written as PNG files to ``folder``, which the executors have mounted: a set whose right decisions are known.
+
+    Files are named ``<stem>__<kind>.png``; a task that runs twice writes the same again. Writing happens as the result is read.
+    """
+    folder = folder.removeprefix("file:").rstrip("/")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            for k in range(b.num_rows):
+                path, kind, h, w, c, data = (x[k].as_py() for x in b.columns)
+                name = f"{os.path.splitext(os.path.basename(path))[0]}.png"
+                put(f"{folder}/{name}", png.encode(np.frombuffer(data, np.uint8).reshape((h, w) if c == 1 else (h, w, c))))
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([kind], pa.string())], ["filename", "kind"])
+
+    return variants(images).mapInArrow(of, "filename string, kind string")

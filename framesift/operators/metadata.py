@@ -47,6 +47,20 @@ def analysis_summary(tool: str = S.TOOL) -> Column:
                        F.when(F.size("issues") > 0, F.concat(F.lit("issues: "), F.array_join("issues", ", "))), F.when(F.col("verdict_reason") != "", F.col("verdict_reason")))
 
 
+def row_text() -> Column:
+    """A frame's line in a list: what was decided, then its name."""
+    return F.concat(F.rpad(F.coalesce("decision", F.lit("...")), 7, " "), F.lit(" "), F.col("filename"))
+
+
+def verdict_text() -> Column:
+    """What is known of a frame, a line each: categories, subject, issues, the model's reason, its place in a burst."""
+    told = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "-").otherwise(F.col(c))
+    role = F.when(F.col("is_best_of_group"), "best").otherwise("alternate")
+    return F.concat_ws("\n", F.concat(F.lit("sharpness "), told("subject_sharpness"), F.lit(", exposure "), told("exposure"), F.lit(", framing "), told("framing")),
+                       F.when(F.col("subject") != "", F.concat(F.lit("subject: "), "subject")), F.when(F.size("issues") > 0, F.concat(F.lit("issues: "), F.array_join("issues", ", "))),
+                       F.when(F.col("verdict_reason") != "", F.col("verdict_reason")), F.when(F.col("group_size") > 1, F.concat(F.lit("burst: "), role, F.lit(" of "), F.col("group_size").cast("string"))))
+
+
 def on1_fields(df: DataFrame, o: WriteOptions = WriteOptions()) -> DataFrame:
     """Adds out_keywords, out_description and out_rating for a JSON sidecar with old_keywords, old_description and old_rating.
 
@@ -55,10 +69,10 @@ def on1_fields(df: DataFrame, o: WriteOptions = WriteOptions()) -> DataFrame:
     desc, old = F.coalesce("description", F.lit("")), F.coalesce("old_description", F.lit(""))
     write = (desc != "") & (F.lit(o.override or o.force_description) | (old == "")) if o.description else F.lit(False)
     stars = rating(F.col("overall_quality")) if o.rating else F.lit(None).cast("int")
-    free = F.lit(o.force_rating) | (F.coalesce(F.col("old_rating").cast("int"), F.lit(0)) == 0)
+    free = F.lit(o.force_rating) | (F.coalesce(F.col("old_rating").try_cast("int"), F.lit(0)) == 0)
     return df.withColumns({"out_keywords": merged(F.col("old_keywords"), F.col("keywords"), o.override, o.keywords, o.own_keywords),
                            "out_description": F.when(write, desc).otherwise(F.col("old_description")),
-                           "out_rating": F.when(stars.isNotNull() & free, stars).otherwise(F.col("old_rating").cast("int"))})
+                           "out_rating": F.when(stars.isNotNull() & free, stars).otherwise(F.col("old_rating").try_cast("int"))})
 
 
 def xmp_fields(df: DataFrame, o: WriteOptions = WriteOptions(), tool: str = S.TOOL) -> DataFrame:

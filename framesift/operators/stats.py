@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import schema as S
+from . import ranges
 
 
 def decision_counts(df: DataFrame) -> DataFrame:
@@ -39,15 +40,16 @@ def by_decision(df: DataFrame, folder: str) -> None:
     df.write.partitionBy("decision").parquet(folder)
 
 
-def failure_runs(df: DataFrame, failed, key: str, order: str, limit: int = S.FAILURE_LIMIT) -> DataFrame:
+def failure_runs(df: DataFrame, failed, key: str, order: str, limit: int = S.FAILURE_LIMIT, rows: int = ranges.ROWS) -> DataFrame:
     """Runs of at least ``limit`` consecutive failures in each lane ``key``: (key, first, last, length).
 
-    Gaps and islands on two row numbers; a lane is a window partition, so lanes bound the work of a task.
+    Rows are ordered in ranges of lane and order, so one long lane is many tasks; a run's ends and length are taken before the shuffle.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    d = df.select(key, order, failed.alias("_f")).withColumn("_i", F.row_number().over(w))
-    runs = d.where("_f").withColumn("_g", F.col("_i") - F.row_number().over(w)).groupBy(key, "_g").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length"))
-    return runs.where(F.col("length") >= limit).drop("_g")
+    d = df.select(key, order, F.coalesce(failed, F.lit(False)).alias("_f"))
+    parted = lambda a, b: ~(a["f"] & b["f"] & a["k"].eqNullSafe(b["k"]))
+    d = ranges.runs(d, [key, order], F.struct(F.col("_f").alias("f"), F.col(key).alias("k")), parted, "_g", rows).where("_f")
+    found = d.groupBy(key, "_g").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length"))
+    return found.where(F.col("length") >= limit).drop("_g")
 
 
 def eval_matrix(df: DataFrame, truth: DataFrame, on: str) -> DataFrame:
@@ -85,3 +87,20 @@ def save_session(df: DataFrame, folder: str) -> None:
 
 def outcomes(written: DataFrame) -> DataFrame:
     return written.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def readiness(df: DataFrame) -> DataFrame:
+    """One row: frames with a decision that did not fail (ready), without one yet (waiting), and failed."""
+    return df.agg(F.count_if(F.col("decision").isNotNull() & (F.col("decision") != "Failed")).alias("ready"), F.count_if(F.col("decision").isNull()).alias("waiting"),
+                  F.count_if(F.col("decision") == "Failed").alias("failed"))
+
+
+def pace(df: DataFrame, seconds: float | None = None) -> DataFrame:
+    """One row: frames, and the mean seconds of one: of ``seconds``, the run's wall time, or of the frames' own times. A run without frames took 0 each."""
+    total = F.lit(float(seconds)) if seconds is not None else F.sum("processing_ms") / 1000.0
+    return df.agg(F.count("*").alias("frames"), F.round(F.coalesce(F.try_divide(total, F.count("*")), F.lit(0.0)), 6).alias("seconds_each"))
+
+
+def first_sources(listed: DataFrame, n: int, path: str = "path") -> DataFrame:
+    """The first ``n`` files in the order of their paths."""
+    return listed.orderBy(path).limit(n)

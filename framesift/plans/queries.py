@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions import keywords as K, triage as T
-from ..operators import bursts, cache, metadata, resolve, stats
+from ..functions import keywords as K, measure, triage as T, views
+from ..operators import bursts, cache, edits, metadata, ranges, resolve, stats
 from .fixture import FRAMES_SQL, photos
 
 GAP = 120
@@ -135,9 +135,8 @@ def _collapse(spark, d):
 
 def _sidecar(spark, d):
     o = metadata.WriteOptions(rating=True)
-    a = metadata.on1_fields(_annotated(spark, d), o).select("photo_id", F.col("out_rating").alias("on1_rating"), F.col("out_description").alias("on1_description"))
-    x = metadata.xmp_fields(_annotated(spark, d), o).select("photo_id", F.col("out_rating").alias("xmp_rating"), F.col("out_description").alias("xmp_description"))
-    return a.join(x, "photo_id")
+    a = metadata.on1_fields(_annotated(spark, d), o).withColumnsRenamed({"out_rating": "on1_rating", "out_description": "on1_description"})
+    return metadata.xmp_fields(a, o).select("photo_id", "on1_rating", "on1_description", F.col("out_rating").alias("xmp_rating"), F.col("out_description").alias("xmp_description"))
 
 
 def _block(spark, d):
@@ -186,6 +185,88 @@ def _failures(spark, d):
     return stats.failure_runs(e, F.col("event_type") == "error", "lane", "event_id", 3).select("first", "last", "length")
 
 
+def _stats(spark, d):
+    p = photos(spark, d)
+    x = T.exposure_stats(F.col("blown_fraction"), F.col("crushed_fraction"), F.when(F.col("blown_fraction").isNotNull(), F.col("cv_sharpness")), F.col("cv_sharpness"))
+    return p.select("photo_id", x.alias("x")).select("photo_id", "x.*")
+
+
+EDGE = 16
+
+
+def _pictures(spark, d):
+    """A small grey picture for each event, from its number alone."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("photo_id"))
+    value = lambda i: (F.col("photo_id") * 37 + F.floor(i / EDGE) * (i % EDGE) * 5 + F.floor(i / EDGE) * 11 + (i % EDGE) * 17 + (F.col("photo_id") % 7) * F.floor(i / EDGE) * F.floor(i / EDGE)) % 256
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(EDGE * EDGE - 1)), lambda i: F.lpad(F.hex(value(i)), 2, "0")), ""))
+    return e.select("photo_id", F.lit(EDGE).alias("height"), F.lit(EDGE).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
+
+
+def _measured(spark, d):
+    m = measure.measure(_pictures(spark, d))
+    return m.select("photo_id", *[F.round(c, 6).alias(c) for c in ("peak_tile_var", "global_var", "blown_fraction", "crushed_fraction", "mean_level", "contrast", "cv_sharpness")], "exposure")
+
+
+def _phash(spark, d):
+    return measure.measure(_pictures(spark, d)).select("photo_id", "phash_hi", "phash_lo")
+
+
+def _crop(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("photo_id"), (500 + F.col("event_id") % 1501).cast("int").alias("h"), (400 + F.col("event_id") * 7 % 2003).cast("int").alias("w"))
+    return e.select("photo_id", views.crop_box(F.col("h"), F.col("w")).alias("x")).select("photo_id", "x.top", "x.left", "x.size")
+
+
+def _texts(spark, d):
+    return _annotated(spark, d).select("photo_id", metadata.row_text().alias("row"), metadata.verdict_text().alias("verdict"))
+
+
+def _edits(spark, d):
+    """What a reader might have left: a row for four frames of five."""
+    p = photos(spark, d).where("photo_id % 5 <> 0")
+    i = F.col("photo_id")
+    return p.select("filepath", F.when(i % 3 == 0, F.concat(F.lit(" New one ,, old one,"), "subject")).alias("keywords_text"), F.when(i % 4 == 0, F.lit("")).when(i % 4 == 1, F.lit("told anew")).alias("description_text"), (i % 5).cast("int").alias("stars"),
+                    F.when(i % 7 == 0, False).alias("tick_include"), F.when(i % 11 == 0, False).alias("tick_keywords"), (i % 2 == 0).alias("tick_own_keywords"), (i % 13 != 0).alias("tick_description"), (i % 6 < 4).alias("tick_rating"))
+
+
+def _edited(spark, d):
+    a = edits.fields(edits.applied(_annotated(spark, d), _edits(spark, d)))
+    return a.select("photo_id", _joined("out_keywords", ", ").alias("keywords"), F.col("out_description").alias("description"), F.col("out_rating").alias("rating"), F.col("tick_analysis").alias("analysis"))
+
+
+def _styles(spark, d):
+    return edits.default_styles(_decided(spark, d), _listing(spark, d))
+
+
+def _xmp_path(spark, d):
+    p = photos(spark, d)
+    i, stem = F.col("photo_id"), F.regexp_replace("filepath", r"\.[A-Za-z0-9]+$", "")
+    there = p.select(F.when(i % 3 == 0, F.concat(stem, F.lit(".xmp"))).when(i % 3 == 1, F.concat("filepath", F.lit(".xmp"))).alias("path")).unionByName(p.where("photo_id % 6 = 0").select(F.concat("filepath", F.lit(".xmp")).alias("path")))
+    return metadata.sidecar_path(p, there.where("path is not null")).select("photo_id", "xmp_path")
+
+
+def _place(df, key):
+    """The place of each row in the order of a key, counted over ranges."""
+    return ranges.runs(df, key, F.struct(F.lit(1).alias("x")), lambda a, b: F.lit(True), "place")
+
+
+def _by_name(spark, d):
+    return _place(_decided(spark, d), ["filename", "filepath"]).select("photo_id", "place")
+
+
+def _by_photo(spark, d):
+    return _place(_originals(spark, d), ["photo"]).select("photo", "place")
+
+
+def _outcomes(spark, d):
+    said = F.when(F.col("decision") == "Delete", "failed").when(F.col("old_rating").isNull(), "missing").otherwise("written")
+    return stats.outcomes(_decided(spark, d).select(said.alias("outcome")))
+
+
+def _ready(spark, d):
+    found = F.when(F.col("photo_id") % 10 == 0, F.lit(None)).when(F.col("photo_id") % 10 == 1, "Failed").otherwise(F.col("decision"))
+    return stats.readiness(_decided(spark, d).withColumn("decision", found))
+
+
 MODELS = ("llava:7b", "moondream:latest", "gemma3:4b", "Qwen3-VL:8b-thinking", "qwen3-vl:8b-instruct", "qwen3-vl:4b-instruct", "mistral:7b")
 
 
@@ -202,6 +283,8 @@ QUERIES = {
     "top_rejects": lambda s, d: stats.top_rejects(_decided(s, d)), "top_keywords": lambda s, d: stats.top_keywords(_decided(s, d)), "top_subjects": lambda s, d: stats.top_subjects(_decided(s, d)),
     "resolve_originals": _originals, "resolve_collapse": _collapse, "sidecar_fields": _sidecar, "analysis_block": _block, "csv_projection": _csv, "report_sections": _sections,
     "cache_key": _cache_key, "cache_work_list": _work_list, "eval_matrix": _matrix, "eval_violations": _violations, "failure_runs": _failures, "model_choice": _model,
+    "exposure_stats": _stats, "measured_pixels": _measured, "perceptual_hash": _phash, "crop_box": _crop, "display_texts": _texts, "edited_fields": _edited, "default_styles": _styles, "xmp_paths": _xmp_path,
+    "results_by_name": _by_name, "resolved_by_path": _by_photo, "outcomes": _outcomes, "readiness": _ready, "pace": lambda s, d: stats.pace(photos(s, d)), "first_sources": lambda s, d: stats.first_sources(_listing(s, d), 6),
 }
 
 
@@ -269,6 +352,7 @@ own AS (SELECT *, list_filter(['FrameSift:' || decision, 'FrameSiftConfidence:'
 
 
 _A = _bursts()
+_ADDED = f"(?i)([{resolve.JOINTS}]({'|'.join(resolve.COPY_WORDS)}|[0-9]{{1,{resolve.DIGITS}}}))+$"
 _LIST = f"""WITH p AS ({FRAMES_SQL.format(events='events')}),
 f AS MATERIALIZED (SELECT filepath AS path FROM p UNION ALL SELECT regexp_replace(filepath, '\\.[A-Za-z0-9]+$', '') || CASE photo_id % 6 WHEN 0 THEN '-Edit.tif' WHEN 1 THEN '.on1' WHEN 2 THEN ' copy.psd' WHEN 3 THEN '.TIF' ELSE '-2.mov' END FROM p),
 s AS MATERIALIZED (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(path, '([^/]*)$', 1) AS name, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS suffix,
@@ -276,7 +360,7 @@ s AS MATERIALIZED (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folde
 o AS (SELECT folder, lower(stem) AS k, min(path) AS m FROM s WHERE suffix IN {S.RAW_EXTENSIONS + S.HEIF_EXTENSIONS} GROUP BY 1, 2),
 rd AS (SELECT folder, lower(stem) AS k, min(path) AS m FROM s WHERE suffix IN {S.AMBIGUOUS_EXTENSIONS + S.RENDER_EXTENSIONS} GROUP BY 1, 2),
 j AS (SELECT s.*, coalesce(nullif(o1.m, path), nullif(o2.m, path)) AS original, rd.m AS render FROM s LEFT JOIN o o1 ON o1.folder = s.folder AND o1.k = lower(stem)
-  LEFT JOIN o o2 ON o2.folder = s.folder AND o2.k = lower(regexp_replace(stem, {_q(resolve.DERIVED)}, '')) LEFT JOIN rd ON rd.folder = s.folder AND rd.k = lower(stem)),
+  LEFT JOIN o o2 ON o2.folder = s.folder AND o2.k = lower(regexp_replace(stem, {_q(_ADDED)}, '')) LEFT JOIN rd ON rd.folder = s.folder AND rd.k = lower(stem)),
 r AS (SELECT path AS received, name, CASE WHEN suffix IN {S.SIDECAR_EXTENSIONS} THEN coalesce(original, render) WHEN suffix IN {S.RENDER_EXTENSIONS + S.AMBIGUOUS_EXTENSIONS} THEN coalesce(original, path)
   WHEN suffix IN {S.RAW_EXTENSIONS + S.HEIF_EXTENSIONS} THEN path END AS photo FROM j)"""
 _DOCW = """WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split_regex(text, '[ \n]') AS w FROM documents),
@@ -296,6 +380,13 @@ _BLOCK = ", ".join(f"'{k}=' || {v}" for k, v in (("decision", "decision"), ("con
                    ("overall_quality", "q2"), ("reason", "nullif(verdict_reason, '')"), ("measured_sharpness", _fmt("cv_sharpness"))))
 # two decimals of a three-decimal value, ties up: engines differ on ties in printf
 _Q2 = "printf('%.2f', floor(round(overall_quality * 1000) / 10 + 0.5) / 100)"
+def _value(y: str, x: str) -> str:
+    return f"((photo_id * 37 + ({y}) * ({x}) * 5 + ({y}) * 11 + ({x}) * 17 + (photo_id % 7) * ({y}) * ({y})) % 256)"
+
+
+# the small pictures and their second derivative, mirrored at the edges
+_PIXELS = f"""WITH px AS MATERIALIZED (SELECT photo_id, y, x, {_value('y', 'x')} AS p, {_value('abs(y - 1)', 'x')} + {_value('CASE y WHEN 15 THEN 14 ELSE y + 1 END', 'x')} + {_value('y', 'abs(x - 1)')} + {_value('y', 'CASE x WHEN 15 THEN 14 ELSE x + 1 END')} - 4 * {_value('y', 'x')} AS lap
+  FROM (SELECT event_id AS photo_id FROM events), range({EDGE}) a(y), range({EDGE}) b(x))"""
 ORACLES = {
     "scan_filter": _BASE + f"SELECT photo_id, filepath FROM photos WHERE lower(regexp_extract(filepath, '(\\.[^./]+)$', 1)) IN {S.PHOTO_EXTENSIONS}",
     "triage_scores": _BASE + "SELECT photo_id, blur_score, exposure_score, composition_score, overall_quality FROM scored",
@@ -317,13 +408,13 @@ ORACLES = {
     "burst_best": _A + "SELECT group_id, photo_id, group_size FROM annotated WHERE is_best_of_group",
     "near_duplicates": _A + "SELECT photo_id, duplicate_of FROM annotated WHERE duplicate_of IS NOT NULL",
     "burst_annotate": _A + "SELECT photo_id, decision, confidence, array_to_string(issues, '; ') AS issues, group_id, group_size, is_best_of_group, coalesce(duplicate_of, '') AS duplicate_of FROM annotated",
-    "burst_summary": _A + "SELECT count(DISTINCT group_id) AS groups, count(*) FILTER (group_size > 1 AND is_best_of_group) AS bursts, count(*) FILTER (demoted) AS demoted_to_review, count(duplicate_of) AS near_identical FROM annotated",
+    "burst_summary": _A + "SELECT count(DISTINCT group_id) AS groups, count(*) FILTER (group_size > 1 AND is_best_of_group) AS bursts, count(*) FILTER (demoted) AS demoted_to_review, count(duplicate_of) AS near_identical, count(phash_hi) > 0 AS hashing_available FROM annotated",
     "decision_counts": _A + "SELECT decision, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS percent FROM annotated GROUP BY decision",
     "run_statistics": _BASE + "SELECT count(*) AS total_images, count(*) AS valid, round(avg(blur_score), 6) AS avg_blur, round(avg(exposure_score), 6) AS avg_exposure, round(avg(composition_score), 6) AS avg_composition, round(avg(overall_quality), 6) AS avg_overall, count(*) FILTER (len(keywords) > 0) AS keywords_found FROM decided",
     "top_rejects": _BASE + "SELECT filepath, confidence FROM decided WHERE decision = 'Delete' ORDER BY confidence DESC, filepath LIMIT 10",
     "top_keywords": _BASE + "SELECT keyword, count(*) AS n FROM (SELECT unnest(keywords) AS keyword FROM decided) GROUP BY keyword ORDER BY n DESC, keyword LIMIT 5",
     "top_subjects": _BASE + "SELECT subject, count(*) AS n FROM decided WHERE subject <> '' GROUP BY subject ORDER BY n DESC, subject LIMIT 3",
-    "resolve_originals": _LIST + " SELECT photo, received, photo <> received AS was_redirected, CASE WHEN photo <> received THEN 'sent as ' || name || ', writing to the original' ELSE '' END AS note FROM r WHERE photo IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(photo) ORDER BY photo <> received, received) = 1",
+    "resolve_originals": _LIST + " SELECT photo, received, photo <> received AS was_redirected, CASE WHEN photo <> received THEN 'metadata of ' || name || ' goes to this photograph' ELSE '' END AS note FROM r WHERE photo IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(photo) ORDER BY photo <> received, received) = 1",
     "resolve_collapse": _LIST + " SELECT photo, received, photo <> received AS was_redirected FROM r WHERE photo IS NOT NULL AND received NOT LIKE '%.NEF' AND lower(regexp_extract(photo, '(\\.[^./]+)$', 1)) IN ('.nef', '.heic') QUALIFY row_number() OVER (PARTITION BY lower(photo) ORDER BY photo <> received, received) = 1",
     "sidecar_fields": _A + "SELECT photo_id, CAST(CASE WHEN coalesce(old_rating, 0) = 0 THEN rating ELSE old_rating END AS INTEGER) AS on1_rating, CASE WHEN description <> '' AND old_description = '' THEN description ELSE old_description END AS on1_description, CAST(CASE WHEN coalesce(old_rating, 0) <> 0 THEN old_rating ELSE rating END AS VARCHAR) AS xmp_rating, CASE WHEN description <> '' THEN description WHEN old_description <> '' THEN old_description ELSE 'FrameSift: ' || decision END AS xmp_description FROM annotated",
     "analysis_block": _A + f"SELECT photo_id, array_to_string(list_sort(list_filter([{_BLOCK}], lambda x: x IS NOT NULL)), '; ') AS block, concat_ws(' | ', 'FrameSift: ' || decision || ' (' || {_fmt('confidence')} || ')', 'sharpness ' || subject_sharpness, 'exposure ' || exposure, 'framing ' || framing, CASE WHEN group_size > 1 THEN 'burst ' || CASE WHEN is_best_of_group THEN 'best' ELSE 'alternate' END || ' of ' || group_size END, CASE WHEN len(issues) > 0 THEN 'issues: ' || array_to_string(issues, ', ') END, nullif(verdict_reason, '')) AS summary FROM (SELECT *, {_Q2} AS q2 FROM annotated)",
@@ -335,4 +426,31 @@ ORACLES = {
     "eval_violations": _BASE + f"SELECT count(*) FILTER (kind = 'original' AND decision = 'Delete') AS false_deletes, count(*) FILTER (kind = 'original') AS originals, count(*) FILTER (kind <> 'original' AND decision = 'Keep') AS missed, count(*) FILTER (kind <> 'original') AS ruined FROM decided JOIN {_TRUTH} USING (photo_id)",
     "failure_runs": "WITH e AS (SELECT event_id, event_type = 'error' AS f, row_number() OVER (ORDER BY event_id) AS i FROM events) SELECT min(event_id) AS first, max(event_id) AS last, count(*) AS length FROM (SELECT event_id, i - row_number() OVER (ORDER BY event_id) AS g FROM e WHERE f) GROUP BY g HAVING count(*) >= 3",
     "model_choice": f"SELECT name FROM (VALUES {', '.join(f'({_q(m)})' for m in MODELS)}) m(name), (VALUES {', '.join(f'({_q(f)}, {i})' for i, f in enumerate(S.MODEL_FAMILIES))}) f(fam, r) WHERE starts_with(lower(name), fam) ORDER BY r, NOT contains(lower(name), 'instruct'), name LIMIT 1",
+    "exposure_stats": _BASE + f"SELECT photo_id, CASE WHEN blown_fraction IS NULL OR cv_sharpness IS NULL THEN 'good' ELSE {_EXP} END AS category, coalesce(blown_fraction, 0) AS blown_fraction, coalesce(crushed_fraction, 0) AS crushed_fraction, CASE WHEN blown_fraction IS NULL THEN 0.5 ELSE coalesce(cv_sharpness, 0.5) END AS mean_level, coalesce(cv_sharpness, 0) AS contrast, blown_fraction IS NOT NULL AND cv_sharpness IS NOT NULL AS available FROM photos",
+    "measured_pixels": _PIXELS + f""", t AS (SELECT photo_id, var_pop(lap) AS v FROM px GROUP BY photo_id, y // 2, x // 2),
+top AS (SELECT photo_id, avg(v) AS peak FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY photo_id ORDER BY v DESC) <= {S.TOP_TILES}) GROUP BY photo_id),
+m AS (SELECT photo_id, var_pop(lap) AS g, avg((p >= {S.HIGHLIGHT})::INT) AS blown, avg((p <= {S.SHADOW})::INT) AS crushed, avg(p) / 255 AS mean, stddev_pop(p) / 255 AS contrast FROM px GROUP BY photo_id),
+j AS (SELECT photo_id, peak AS v, g, blown AS blown_fraction, crushed AS crushed_fraction, mean, contrast FROM top JOIN m USING (photo_id))
+SELECT photo_id, round(v, 6) AS peak_tile_var, round(g, 6) AS global_var, round(blown_fraction, 6) AS blown_fraction, round(crushed_fraction, 6) AS crushed_fraction, round(mean, 6) AS mean_level, round(contrast, 6) AS contrast, round({_SS}, 6) AS cv_sharpness, {_EXP.replace('cv_sharpness', 'mean')} AS exposure FROM j""",
+    "perceptual_hash": _PIXELS + """, b AS (SELECT u, k // 2 AS j, sum(cos(pi() * u * (2 * k + 1) / 64)) AS w FROM range(8) a(u), range(32) c(k) GROUP BY u, k // 2),
+r AS (SELECT photo_id, u, x, sum(w * p) AS s FROM px JOIN b ON b.j = y GROUP BY photo_id, u, x),
+c AS (SELECT photo_id, r.u, b.u AS v, sum(b.w * s) AS z FROM r JOIN b ON b.j = x GROUP BY photo_id, r.u, b.u),
+h AS (SELECT photo_id, u * 8 + v AS i, z > median(z) OVER (PARTITION BY photo_id) AS bit FROM c)
+SELECT photo_id, CAST(sum(CASE WHEN i < 32 AND bit THEN 1::BIGINT << (31 - i)::INT ELSE 0 END) AS BIGINT) AS phash_hi, CAST(sum(CASE WHEN i >= 32 AND bit THEN 1::BIGINT << (63 - i)::INT ELSE 0 END) AS BIGINT) AS phash_lo FROM h GROUP BY photo_id""",
+    "crop_box": "SELECT photo_id, CASE WHEN ok THEN (h - 768) // 2 END::INTEGER AS top, CASE WHEN ok THEN (w - 768) // 2 END::INTEGER AS left, CASE WHEN ok THEN 768 END::INTEGER AS size FROM (SELECT photo_id, h, w, h > 768 AND w > 768 AS ok FROM (SELECT event_id AS photo_id, 500 + event_id % 1501 AS h, 400 + event_id * 7 % 2003 AS w FROM events))",
+    "display_texts": _A + """SELECT photo_id, rpad(decision, 7, ' ') || ' ' || filename AS row, concat_ws(chr(10), 'sharpness ' || subject_sharpness || ', exposure ' || exposure || ', framing ' || framing, 'subject: ' || nullif(subject, ''),
+  CASE WHEN len(issues) > 0 THEN 'issues: ' || array_to_string(issues, ', ') END, nullif(verdict_reason, ''), CASE WHEN group_size > 1 THEN 'burst: ' || CASE WHEN is_best_of_group THEN 'best' ELSE 'alternate' END || ' of ' || group_size END) AS verdict FROM annotated""",
+    "edited_fields": _A + f""", ed AS (SELECT *, photo_id % 5 <> 0 AS e FROM own),
+k AS (SELECT *, CASE WHEN e AND photo_id % 11 = 0 THEN [] WHEN e AND photo_id % 3 = 0 THEN list_filter(list_transform(string_split(' New one ,, old one,' || subject, ','), lambda x: trim(x)), lambda x: x <> '') ELSE keywords END AS kw,
+  NOT (e AND photo_id % 11 = 0) AS tk, NOT e OR photo_id % 2 = 0 AS tow, NOT e OR photo_id % 13 <> 0 AS td, CASE WHEN e AND photo_id % 4 = 0 THEN '' WHEN e AND photo_id % 4 = 1 THEN 'told anew' ELSE description END AS de FROM ed WHERE NOT (e AND photo_id % 7 = 0))
+SELECT photo_id, array_to_string(CASE WHEN tow THEN {_sql_dedupe(f"list_concat({_KEPT}list_slice(kw, 1, {S.SIDECAR_KEYWORDS}), own_keywords)")} WHEN tk THEN {_sql_dedupe(f"list_concat({_KEPT}list_slice(kw, 1, {S.SIDECAR_KEYWORDS}))")} ELSE old_keywords END, ', ') AS keywords,
+  CASE WHEN td AND de <> '' THEN de ELSE old_description END AS description, CASE WHEN e AND photo_id % 6 < 4 THEN CAST(photo_id % 5 AS VARCHAR) ELSE CAST(old_rating AS VARCHAR) END AS rating, true AS analysis FROM k""",
+    "default_styles": _LIST + " SELECT count(*) > 0 AS on1, count(*) = 0 AS xmp FROM p JOIN f ON f.path = regexp_replace(filepath, '\\.[^./]+$', '') || '.on1'",
+    "xmp_paths": f"WITH p AS ({FRAMES_SQL.format(events='events')}) SELECT photo_id, CASE WHEN photo_id % 3 = 1 THEN filepath || '.xmp' ELSE regexp_replace(filepath, '\\.[A-Za-z0-9]+$', '') || '.xmp' END AS xmp_path FROM p",
+    "results_by_name": _BASE + "SELECT photo_id, row_number() OVER (ORDER BY filename, filepath) - 1 AS place FROM decided",
+    "resolved_by_path": _LIST + " SELECT photo, row_number() OVER (ORDER BY photo) - 1 AS place FROM (SELECT photo FROM r WHERE photo IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(photo) ORDER BY photo <> received, received) = 1)",
+    "outcomes": _BASE + "SELECT CASE WHEN decision = 'Delete' THEN 'failed' WHEN old_rating IS NULL THEN 'missing' ELSE 'written' END AS outcome, count(*) AS n FROM decided GROUP BY 1",
+    "readiness": "SELECT count(*) FILTER (event_id % 10 > 1) AS ready, count(*) FILTER (event_id % 10 = 0) AS waiting, count(*) FILTER (event_id % 10 = 1) AS failed FROM events",
+    "pace": "SELECT count(*) AS frames, round(coalesce(sum(event_id % 997) / 1000.0 / count(*), 0), 6)::DOUBLE AS seconds_each FROM events",
+    "first_sources": _LIST + " SELECT path FROM f ORDER BY path LIMIT 6",
 }

@@ -11,24 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
+from ..operators import metadata
 
 _NS = {"x": "adobe:ns:meta/", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "xmp": "http://ns.adobe.com/xap/1.0/", "dc": "http://purl.org/dc/elements/1.1/",
        "photoshop": "http://ns.adobe.com/photoshop/1.0/", "framesift": "urn:framesift:1.0"}
+# Namespaces and class names of foreign formats, which other programs read.
 #: Classifications that regenerate keywords by themselves; an override takes them out.
 REGENERATING = ("ONPanopticSegmenterV0", "PartialLabelingCSL")
+ON1 = "photos map<string,struct<name:string,metadata:struct<Keywords:array<string>,Description:string,Rating:string>>>"
 SIDECARS = "path string, name string, old_keywords array<string>, old_description string, old_rating string"
 _q = lambda prefix, tag: f"{{{_NS[prefix]}}}{tag}"
 
 
-def parse_on1(text: str, name: str) -> dict | None:
-    """The metadata of one photograph in a JSON sidecar; None where the file is damaged or does not know it."""
-    try:
-        entry = next((e for e in json.loads(text).get("photos", {}).values() if e.get("name") == name), None)
-    except (ValueError, AttributeError):
-        return None
-    return None if entry is None else entry.get("metadata") or {}
-
-
 def parse_xmp(text: str) -> dict:
     """keywords, description and rating of an XMP sidecar; a damaged file is as good as none."""
     out: dict = {"keywords": [], "description": "", "rating": ""}
@@ -46,33 +40,58 @@ def parse_xmp(text: str) -> dict:
 
 
 def read(spark: SparkSession, folder: str, style: str) -> DataFrame:
-    """path, name, old_keywords, old_description and old_rating from all ``xmp`` or ``on1`` files below a folder; a row for each photograph that an on1 file names."""
+    """path, name, old_keywords, old_description and old_rating from all ``xmp`` or ``on1`` files below a folder; a row for each photograph that an on1 file names.
+
+    A damaged file is as good as none. A rating of 0 is none.
+    """
     if style not in ("on1", "xmp"):
         raise ValueError(f"unknown sidecar style {style!r}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     files = files.where(F.lower("path").endswith(f".{style}")).select("path", F.decode("content", "UTF-8").alias("text"))
+    if style == "on1":
+        m = F.col("e.metadata")
+        rows = files.select("path", F.explode(F.map_values(F.from_json("text", ON1)["photos"])).alias("e"))
+        rating = F.when(m["Rating"] != "0", m["Rating"])
+        return rows.where("e.name is not null").select("path", F.col("e.name").alias("name"), F.coalesce(m["Keywords"], F.array().cast("array<string>")).alias("old_keywords"),
+                                                       F.coalesce(m["Description"], F.lit("")).alias("old_description"), F.coalesce(rating, F.lit("")).alias("old_rating"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if style == "xmp":
-                    m = parse_xmp(text)
-                    rows.append((path, None, m["keywords"], m["description"], m["rating"]))
-                    continue
-                try:
-                    names = [e.get("name") for e in json.loads(text).get("photos", {}).values()]
-                except (ValueError, AttributeError):
-                    names = []
-                for name in names:
-                    m = parse_on1(text, name) or {}
-                    rows.append((path, name, m.get("Keywords") or [], m.get("Description") or "", str(m.get("Rating") or "")))
-            kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["path", "name", "old_keywords", "old_description", "old_rating"])
+            told = [parse_xmp(text) for text in b.column(1).to_pylist()]
+            cols = [pa.array([None] * len(told), pa.string()), pa.array([m["keywords"] for m in told], pa.list_(pa.string())), *(pa.array([m[k] for m in told], pa.string()) for k in ("description", "rating"))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["path", "name", "old_keywords", "old_description", "old_rating"])
 
     return files.mapInArrow(of, SIDECARS)
 
 
+def with_old(results: DataFrame, listed: DataFrame, style: str) -> DataFrame:
+    """results with old_keywords, old_description and old_rating of the sidecar that each frame has (``listed``: rows of ``read``), and for xmp the xmp_path that it has or will have.
+
+    An on1 file is named for the stem and knows the frame by its name; without one the old fields are empty. Where two files name a frame the first row by path holds.
+    """
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  sources spell local paths unlike
+    results = results.withColumn("_told", F.col("filepath")).withColumn("filepath", plain("filepath"))
+    listed = listed.withColumn("path", plain("path"))
+    stem = F.regexp_replace("filepath", r"\.[^./]+$", "")
+    if style == "xmp":
+        results = metadata.sidecar_path(results, listed.select("path").distinct())
+        on, old = F.col("xmp_path") == F.col("_path"), listed
+    else:
+        on, old = (F.concat(stem, F.lit(".on1")) == F.col("_path")) & (F.col("filename") == F.col("_name")), listed.where("name is not null")
+    old = old.groupBy(F.col("path").alias("_path"), F.col("name").alias("_name")).agg(F.min(F.struct("old_keywords", "old_description", "old_rating")).alias("_old"))
+    out = results.join(old, on, "left").withColumns({"old_keywords": F.coalesce("_old.old_keywords", F.array().cast("array<string>")), "old_description": F.coalesce("_old.old_description", F.lit("")), "old_rating": F.coalesce("_old.old_rating", F.lit(""))})
+    return out.withColumn("filepath", F.col("_told")).drop("_path", "_name", "_old", "_told")
+
+
+def save(spark: SparkSession, results: DataFrame, folder: str, style: str, date: str, options: metadata.WriteOptions = metadata.WriteOptions()) -> DataFrame:
+    """Writes a sidecar for each decided frame, with what its old one says taken into account; (filepath, outcome) as ``write`` gives it."""
+    d = with_old(results, read(spark, folder, style), style)
+    d = (metadata.xmp_fields if style == "xmp" else metadata.on1_fields)(d, options)
+    block = metadata.analysis_block() if options.analysis else F.lit(None).cast("map<string,string>")
+    d = d.withColumns({"analysis": block, "summary": metadata.analysis_summary() if options.analysis else F.lit(None).cast("string")})
+    return write(d, style, date, options.override)
+
+
 def merge_on1(text: str, name: str, keywords: list[str] | None, description: str | None, rating: int | None, analysis: dict | None, date: str, override: bool = False, tool: str = S.TOOL) -> str | None:
     """The JSON sidecar with one photograph's fields set; None where there is no such entry. Everything else in the file stays."""
     try:

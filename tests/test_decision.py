@@ -5,7 +5,7 @@ from pyspark.sql import Window, functions as F
 
 from framesift import schema as S
 from framesift.functions import keywords as K, triage as T
-from framesift.operators import bursts
+from framesift.operators import bursts, ranges, stats
 
 FRAME = ("filepath string, filename string, capture_time timestamp_ntz, phash_hi long, phash_lo long, subject_sharpness string, exposure string, framing string, technical_issues array<string>, "
          "verdict string, verdict_reason string, cv_sharpness double, blown_fraction double, crushed_fraction double")
@@ -76,8 +76,50 @@ def test_bucketed_scan_equals_one_window(spark, seed):
     same = (F.col("capture_time") - F.lag("capture_time").over(w) <= F.expr("INTERVAL '3' SECOND")) & F.coalesce(T.hamming(F.col("phash_hi"), F.col("phash_lo"), F.lag("phash_hi").over(w), F.lag("phash_lo").over(w)) <= S.SIMILAR, F.lit(True))
     plain = df.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("g", F.sum("new").over(w) - 1)
     want = {r["filepath"]: r["g"] for r in plain.collect()}
-    for unit in ("day", "hour"):
-        assert {r["filepath"]: r["group_id"] for r in bursts.groups(df, unit=unit).collect()} == want
+    for rows in (10_000, 37, 5):
+        assert {r["filepath"]: r["group_id"] for r in bursts.groups(df, rows=rows).collect()} == want
+
+
+@pytest.mark.parametrize("times", ["one day", "none", "one moment"])
+def test_a_shoot_is_many_tasks(spark, times):
+    """Neither one day, nor one moment, nor frames without times meet in one range."""
+    import datetime as dt
+
+    t = dt.datetime(2024, 5, 1)
+    at = {"one day": lambda i: t + dt.timedelta(seconds=i % 1000), "none": lambda i: None, "one moment": lambda i: t}[times]
+    df = spark.createDataFrame([frame(filepath=f"/s/{i:04}.nef", filename=f"{i % 7}.nef", capture_time=at(i)) for i in range(1000)], FRAME).withColumn("decision", F.lit("Keep"))
+    sizes = [r["count"] for r in ranges.ranged(df, ["capture_time", "filename", "filepath"], "r", 100).groupBy("r").count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 150
+    got = {r["group_id"] for r in bursts.groups(df, rows=100).collect()}
+    assert len(got) == (1000 if times == "none" else 1)
+
+
+def test_failure_runs_over_ranges(spark):
+    r = random.Random(8)
+    rows = [(r.randrange(3) if i % 2 else None, i, r.random() < 0.8) for i in range(600)]
+    df = spark.createDataFrame(rows, "lane int, i int, bad boolean")
+    want = []
+    for lane in (0, 1, 2, None):
+        run = []
+        for _, i, bad in [x for x in rows if x[0] == lane] + [(lane, None, False)]:
+            if bad:
+                run.append(i)
+            else:
+                if len(run) >= 4:
+                    want.append((lane, run[0], run[-1], len(run)))
+                run = []
+    for size in (10_000, 50):
+        got = [tuple(x) for x in stats.failure_runs(df, F.col("bad"), "lane", "i", 4, size).select("lane", "first", "last", "length").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_ranges_of_odd_keys(spark):
+    r = random.Random(9)
+    rows = [(r.choice([None, "", "a", "a'b\\", "é", "zz"]), r.choice([None, -5, 7, 10**12])) for _ in range(300)]
+    df = ranges.ranged(spark.createDataFrame(rows, "s string, n long"), ["s", "n"], "r", 20)
+    got = [x["r"] for x in df.orderBy(F.col("s").asc_nulls_last(), F.col("n").asc_nulls_last()).collect()]
+    assert got == sorted(got) and len(set(got)) > 5
+    assert ranges.ranged(df.limit(0).drop("r"), ["s"], "r").count() == 0
 
 
 def test_demotion_only_moves_keeps_to_review(spark):
