@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,21 +28,62 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return keep.select(*[F.col(f"_{i}").alias(n) for n, i in at.items()])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df is spelled so in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (tests)."""
+    """The folder that all executors share. Where none is set, a local master, as in tests, gets a temporary one, removed at its end; a cluster raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="framesift-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: the executors of {master} need a folder that all of them share")
+        folder = tempfile.mkdtemp(prefix="framesift-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back: lineage ends here."""
+def _write(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/framesift-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df, written as Parquet to the shared folder, under this application's own, and read back: lineage ends here.
+
+    The table stays for as long as results may read it; what only steps in between read is a ``Scratch``'s.
+    """
+    return _write(df, what)[0]
+
+
+class Scratch:
+    """Tables in the shared folder that only steps in between read: ``clear`` removes them once a later one has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        out, path = _write(df, what)
+        self.paths.append(path)
+        return out
+
+    def clear(self, keep: int = 0) -> None:
+        """Removes all of them but the last ``keep``."""
+        gone, self.paths = self.paths[: len(self.paths) - keep], self.paths[len(self.paths) - keep :]
+        conf, at = self.spark.sparkContext._jsc.hadoopConfiguration(), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in map(at, gone):
+            path.getFileSystem(conf).delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -56,16 +99,17 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60, into: Scratch | None = None) -> DataFrame:
     """(node, component) for the undirected edges (a, b): component is the smallest node reachable.
 
     Alternates large-star and small-star, each a shuffle with a map-side minimum,
     and writes the edges to the shared folder after each pair, so nothing of the
     graph reaches the driver but two sums that tell whether the edges changed. The number
     of edges never grows. Loops are ignored; no edges give no rows. Raises where ``rounds`` do not suffice.
+    The last table of edges, which the result reads, becomes one of ``into``.
     """
-    spark = edges.sparkSession
-    cur = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    cur = scratch.written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(rounds):
         # large star: each node's larger neighbours are linked to its smallest one
@@ -77,12 +121,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         new = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        cur = written(new, "edges")
+        cur = scratch.written(new, "edges")
+        scratch.clear(keep=1)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
+    if into:
+        into.paths += scratch.paths
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -7,19 +7,21 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pick, written
+from .common import pick, unused, written
 
 WINDOW = 13
-#: Items go to one automaton while their texts take at most so many bytes; beyond, to several, one scan each.
-SHARD_BYTES = 32 << 20
+#: Items go to one automaton while their texts take at most so many bytes: at six bytes a word some 18 million nodes of 40 bytes; beyond, to several, one scan each.
+SHARD_BYTES = 2 << 20
 PERCENT_INVERSE = 20
 #: Bytes to bytes: A-Z lower-cased, what is no word byte to a space. UTF-8 bytes above 127 belong to words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
+#: A word of the benchmark is so many symbols of 64: the first from one alphabet, the others from another, so that only whole words match.
+_SYMBOLS = 4
+_UNKNOWN = "\0" * _SYMBOLS
 _built: dict[str, tuple] = {}
 
 
@@ -27,45 +29,53 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE)
 
 
-def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
+def windows(text: str | None, size: int = WINDOW) -> list[list[bytes]]:
     """All windows of ``size`` words; one of all words where there are fewer; none without words."""
     w = _bytes(text).split()
     if not w:
         return []
-    return [b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))]
+    return [w[i : i + size] for i in range(max(1, len(w) - size + 1))]
+
+
+class _Codes(dict):
+    def __missing__(self, word: bytes) -> str:
+        k = len(self)
+        self[word] = code = chr(0x40 + (k & 63)) + "".join(chr(0xC0 + (k >> 6 * i & 63)) for i in range(1, _SYMBOLS))
+        return code
 
 
 def build(items: list[tuple[str, str]], size: int = WINDOW):
-    """(automaton, items by pattern): a pattern is a window between spaces, its value its number and its words."""
+    """(automaton, items by pattern, codes of words): a pattern is a window's codes, its value its number and its words."""
     import ahocorasick
 
-    auto, number, owners = ahocorasick.Automaton(), {}, []
+    auto, number, owners, codes = ahocorasick.Automaton(), {}, [], _Codes()
     for item, text in items:
         for w in windows(text, size):
-            k = number.setdefault(w, len(owners))
+            s = "".join([codes[x] for x in w])
+            k = number.setdefault(s, len(owners))
             if k == len(owners):
                 owners.append(set())
-                auto.add_word(f" {w.decode('latin-1')} ", (k, w.count(b" ") + 1))
+                auto.add_word(s, (k, len(w)))
             owners[k].add(item)
     if owners:
         auto.make_automaton()
-    return (auto if owners else None), owners
+    return (auto if owners else None), owners, codes
 
 
-def find(text: str | None, built) -> tuple[int, list[int], set[str]]:
-    """(words, sorted places of the hit words, items found) of one text, scanned once."""
-    auto, owners = built
+def find(text: str | None, built, size: int = WINDOW) -> tuple[int, list[int], set[str], bool]:
+    """(words, sorted places of the hit words, items found, whether a window of ``size`` words is among them) of one text, scanned once."""
+    auto, owners, codes = built
     words = _bytes(text).split()
+    hit, items, whole = set(), set(), False
     if not words or auto is None:
-        return len(words), [], set()
-    ends, hit, items = None, set(), set()
-    for e, (k, n) in auto.iter(f" {b' '.join(words).decode('latin-1')} "):
-        if ends is None:
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        last = int(np.searchsorted(ends, e))
+        return len(words), [], items, whole
+    code = codes.get
+    for e, (k, n) in auto.iter("".join([code(w, _UNKNOWN) for w in words])):
+        last = e // _SYMBOLS
         hit.update(range(last - n + 1, last + 1))
         items |= owners[k]
-    return len(words), sorted(hit), items
+        whole |= n >= size
+    return len(words), sorted(hit), items, whole
 
 
 def spans(text: str, hit: list[int]) -> list[tuple[int, int]]:
@@ -91,14 +101,19 @@ def _shards(benchmark: DataFrame, shard_bytes: int) -> Iterator[list[tuple[str,
         yield [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, size: int, shard_bytes: int) -> DataFrame:
-    """docs with _n (words), _hit (places of hit words) and _items (found), all columns kept and nothing shuffled.
+_FOUND = "struct<n:int,hit:array<int>,items:array<string>,whole:boolean>"
+_FOUND_ARROW = pa.struct([("n", pa.int32()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("whole", pa.bool_())])
+
 
-    The driver measures the benchmark before it sends an automaton's items: beyond ``shard_bytes`` it is dealt to several automata by hash, and
+def _hits(docs: DataFrame, benchmark: DataFrame, size: int, shard_bytes: int) -> tuple[DataFrame, str]:
+    """(docs with one more column, its name): n words, places of hit words, items found, and whether a whole window is among them.
+
+    Nothing is shuffled. The driver measures the benchmark before it sends an automaton's items: beyond ``shard_bytes`` it is dealt to several automata by hash, and
     the documents, with what they have collected, are written between the scans, so no executor holds two.
     """
     spark = docs.sparkSession
-    cur = docs.withColumns({"_n": F.lit(0), "_hit": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
+    (name,) = unused(docs, "found")
+    cur = docs.withColumn(name, F.lit(None).cast(_FOUND))
     at, width, more = docs.columns.index("text"), len(docs.columns), False
     for items in _shards(benchmark, shard_bytes):
         if more:
@@ -112,23 +127,22 @@ def _hits(docs: DataFrame, benchmark: DataFrame, size: int, shard_bytes: int) ->
             built = _built[key]
             for b in batches:
                 for i in range(0, b.num_rows, 256):
-                    part = b.slice(i, 256)
-                    words, hits, found = [], [], []
-                    for text, h0, i0 in zip(*(part.column(c).to_pylist() for c in (at, width + 1, width + 2))):
-                        n, h, s = find(text, built)
-                        words.append(n)
-                        hits.append(sorted({*h, *h0}))
-                        found.append(sorted({*s, *i0}))
-                    new = [pa.array(words, pa.int32()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*part.columns[:width], *new], part.schema.names)
+                    part, out = b.slice(i, 256), []
+                    for text, old in zip(part.column(at).to_pylist(), part.column(width).to_pylist()):
+                        n, h, s, whole = find(text, built, size)
+                        if old:
+                            h, s, whole = sorted({*h, *old["hit"]}), {*s, *old["items"]}, whole or old["whole"]
+                        out.append({"n": n, "hit": h, "items": sorted(s), "whole": whole})
+                    yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(out, _FOUND_ARROW)], part.schema.names)
 
         cur = cur.mapInArrow(step, cur.schema)
         more = True
-    return cur
+    return cur, name
 
 
-def _contaminated():
-    return (F.size("_hit") > 0) & (PERCENT_INVERSE * F.size("_hit").cast("long") >= F.col("_n"))
+def _contaminated(found: str):
+    n = F.size(f"`{found}`.hit")
+    return (n > 0) & (PERCENT_INVERSE * n.cast("long") >= F.col(f"`{found}`.n"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -138,25 +152,33 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes:
     or text are left out, repeated items are one; repeated rows give repeated results; no rows give none.
     """
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cur = _hits(d, benchmark, size, shard_bytes).withColumn("contaminated", _contaminated())
+    cur, name = _hits(d, benchmark, size, shard_bytes)
+    cur = cur.withColumn("contaminated", _contaminated(name))
 
     def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 cols = {n: part.column(k) for k, n in enumerate(part.schema.names)}
-                at = [[{"start": x, "end": y} for x, y in spans(t, h)] if h else [] for t, h in zip(cols["text"].to_pylist(), cols["_hit"].to_pylist())]
-                yield pa.RecordBatch.from_arrays([*(cols[c] for c in ("doc_id", "_n", "_hit", "_items", "contaminated")), pa.array(at, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                                                 ["doc_id", "_n", "_hit", "_items", "contaminated", "spans"])
+                at = [[{"start": x, "end": y} for x, y in spans(t, f["hit"])] if f["hit"] else [] for t, f in zip(cols["text"].to_pylist(), cols[name].to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(cols[c] for c in ("doc_id", name, "contaminated")), pa.array(at, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                                                 ["doc_id", name, "contaminated", "spans"])
 
-    out = cur.mapInArrow(where, "doc_id long, _n int, _hit array<int>, _items array<string>, contaminated boolean, spans array<struct<start:int,end:int>>")
-    return out.select("doc_id", F.col("_n").cast("long").alias("n_words"), F.size("_hit").cast("long").alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-                      F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), "contaminated", F.col("_items").alias("items"), "spans")
+    out = cur.mapInArrow(where, f"doc_id long, {name} {_FOUND}, contaminated boolean, spans array<struct<start:int,end:int>>")
+    items = F.col(f"{name}.items")
+    return out.select("doc_id", F.col(f"{name}.n").cast("long").alias("n_words"), F.size(f"{name}.hit").cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+                      F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated", items.alias("items"), "spans")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The rows of docs, all columns, of which under a twentieth of the words, or none, lies in windows of the benchmark."""
-    return _hits(docs, benchmark, size, shard_bytes).where(~_contaminated()).select(*docs.columns)
+    """The rows of docs, all columns, that hold no window of ``size`` words of the benchmark, and of whose words under a twentieth, or none, lies in items shorter than that.
+
+    A passage of ``size`` words counts however long the text around it is; a short item may stand in a text by chance, so it counts by its share alone.
+    Null and empty texts stay, as do all rows where the benchmark is empty; rows with null ids and repeated rows are judged by their texts; no rows give none;
+    columns may have any names.
+    """
+    cur, name = _hits(docs, benchmark, size, shard_bytes)
+    return cur.where(~(F.col(f"`{name}`.whole") | _contaminated(name))).drop(name)
 
 
 _RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

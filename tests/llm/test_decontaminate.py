@@ -72,3 +72,14 @@ def test_odd_empty_and_clashing(spark, docs_of, odd):
     both = spark.createDataFrame([("w", "word", "e")], "item_id string, text string, TEXT2 string")
     assert dc.scan(clash, both).first()["contaminated"] is True
     assert dc.drop_contaminated(clash, both).columns == clash.columns and dc.drop_contaminated(clash, both).count() == 0
+    same = spark.createDataFrame([(1, "a word", 1, 2, 3, 4, 5)], "doc_id long, text string, _n int, _hit int, _items int, Found int, _found int")
+    assert dc.drop_contaminated(same, none).collect() == same.collect() and dc.drop_contaminated(same, both).count() == 0
+
+
+def test_whole_windows_count_in_long_texts(spark, docs_of):
+    item = " ".join(f"q{i}" for i in range(20))
+    pad = " ".join(f"p{i}" for i in range(2000))
+    rows = [(1, f"{pad} {' '.join(item.split()[4:17])} {pad}"), (2, f"{pad} {' '.join(item.split()[4:16])} {pad}"), (3, f"{pad} yes {pad}"), (4, "yes"), (5, None), (None, pad), (7, item)]
+    items = spark.createDataFrame([("a", item), ("b", "Yes")], ITEMS)
+    for shard in (1 << 20, 30):
+        assert sorted(str(r["doc_id"]) for r in dc.drop_contaminated(docs_of(rows), items, shard_bytes=shard).collect()) == ["2", "3", "5", "None"]
