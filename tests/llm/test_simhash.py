@@ -91,9 +91,13 @@ def test_odd_texts(docs_of, odd):
 
 
 def test_keep_first_and_empty(spark, docs_of):
-    t = "the quick brown fox jumps over the lazy dog and runs away from the farm today"
-    out = simhash.keep_first(docs_of([(1, t), (2, t), (2, t), (3, "another text of some words that is wholly unlike"), (None, t)]), shingle=3)
-    assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 1, 3]
+    t, u = "the quick brown fox jumps over the lazy dog and runs away from the farm today", "another text of some words that is wholly unlike"
+    out = simhash.keep_first(docs_of([(1, t), (2, t), (2, t), (2, u), (None, t), (None, "c")]))
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in out.collect()) == [(0, "c"), (1, t), (2, u)]
     assert simhash.components(docs_of([])).count() == 0 and simhash.keep_first(docs_of([])).count() == 0
     clash = spark.createDataFrame([(1, "a b c", 5, 7)], "doc_id long, text string, fp long, component_id long")
     assert simhash.components(clash).count() == 1 and simhash.keep_first(clash).columns == clash.columns
+
+
+def test_query_equals_sql(compare, sf):
+    compare(queries.QUERIES["op10_simhash"], queries.ORACLES["op10_simhash"], sf)
