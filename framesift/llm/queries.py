@@ -46,8 +46,10 @@ QUERIES = {
 
 ORACLES = {
     "op1_license_scan": licenses.SQL,
+    "op4_suffix_dedup": suffix_dedup.SQL,
     "op5_url_filter": url_filter.SQL,
     "op7_decontaminate": decontaminate.SQL,
     "op8_quality_rules": quality.SQL,
     "op9_warc": warc.SQL,
+    "op10_simhash": simhash.SQL,
 }

@@ -17,13 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import free_shuffles, pick, written
+from .common import Scratch, free_shuffles, pick, unused, written
 
 WIDTH = 100
 GRAM = 24
-#: Strings in a collection, on average; a gram with more distinct runs than HOT is settled window by window instead.
-COLLECTION = 20_000
-HOT = 20_000
+#: Strings in a collection, on average, and the most of one gram; a gram with more distinct runs is split by the bytes around it.
+COLLECTION = HOT = 8_000
+#: Windows whose gram lies so many bytes further on or less are kept together where a gram is split: they share all but as many bytes.
+STEP = 11
 _CHUNK = 1 << 18
 _RUNS = 400_000
 #: Rows that a round writes to its files at once.
@@ -367,12 +368,97 @@ def _merge(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[i].tolist(), e[np.append(i[1:], len(s)) - 1].tolist()))
 
 
+def _split(run: bytes, gram: int, width: int) -> list[tuple[int, int, bytes]]:
+    """(key, start, string) of a run's windows, by where their first gram lies and by the bytes that all windows with it there share.
+
+    Equal windows have their first gram at one place and the same bytes around it, so they get one key.
+    """
+    import xxhash
+
+    data = np.frombuffer(run, np.uint8)
+    places = np.flatnonzero((_grams(data) >> _U(12)).astype(np.int64) == gram)
+    starts = np.arange(len(run) - width + 1)
+    at = places[np.searchsorted(places, starts)]
+    lot = (at - starts) // STEP
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (lot[1:] != lot[:-1])]))
+    out = []
+    for i, j in zip(first.tolist(), np.append(first[1:], len(starts)).tolist()):
+        g, k = int(at[i]), int(lot[i])
+        around = run[g - k * STEP : g - min(k * STEP + STEP - 1, width - GRAM) + width]
+        out.append((xxhash.xxh3_64_intdigest(around, k) >> 1, i, run[i : j - 1 + width]))
+    return out
+
+
+_STRINGS = "key long, h long, doc long, part long, a long, s binary, split boolean"
+
+
+def _strings(cut: DataFrame, width: int) -> DataFrame:
+    """The strings of the runs asked for: whole under their gram (what 1), or split (what 2)."""
+
+    def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i in range(0, b.num_rows, 64):
+                out: list[tuple] = []
+                for doc, part, text, asked in zip(*(c.slice(i, 64).to_pylist() for c in b.columns)):
+                    raw = text.encode("utf-8", "surrogatepass")
+                    for r in asked:
+                        run = raw[r["a"] : r["e"]]
+                        if r["what"] == 1:
+                            out.append((r["h"], r["h"], doc, part, r["a"], run, False))
+                        else:
+                            out += [(key, r["h"], doc, part, r["a"] + x, s, True) for key, x, s in _split(run, r["h"], width)]
+                if out:
+                    kinds = (*[pa.int64()] * 5, pa.binary(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["key", "h", "doc", "part", "a", "s", "split"])
+
+    return cut.mapInArrow(of, _STRINGS)
+
+
+def _windows(strings: DataFrame, width: int) -> DataFrame:
+    """(doc, part, a, s) of every window of the strings, s a hash of 128 bits: what is left where more strings than a collection takes share all but a few bytes."""
+
+    def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in it:
+            for i in range(0, b.num_rows, 1024):
+                out = [(doc, part, a + x, xxhash.xxh3_128_digest(s[x : x + width])) for doc, part, a, s in zip(*(c.slice(i, 1024).to_pylist() for c in b.columns)) for x in range(len(s) - width + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc", "part", "a", "s"])
+
+    return strings.select("doc", "part", "a", "s").mapInArrow(of, "doc long, part long, a long, s binary")
+
+
+def _settle(t: pa.Table, width: int) -> pa.Table:
+    """(doc, part, a, e) of the repeated windows of one collection's strings (h, doc, part, a, s)."""
+    pa.default_memory_pool().release_unused()  # what the collection before this one held
+    # rows that repeat an id and a text bring the same strings: once is enough
+    t = t.group_by(["h", "doc", "part", "a", "s"]).aggregate([])
+    s = t.column("s").to_pylist()
+    doc, part, a = (t.column(c).to_numpy() for c in ("doc", "part", "a"))
+    by = np.lexsort((part, doc))
+    rank = np.empty(len(by), np.int64)
+    new = np.ones(len(by), bool)
+    new[1:] = (doc[by][1:] != doc[by][:-1]) | (part[by][1:] != part[by][:-1])
+    rank[by] = np.cumsum(new)
+    own, start = settled(s, t.column("h").to_numpy(), np.stack([rank, a], 1), width)
+    if not len(own):
+        return pa.table({c: pa.array([], pa.int64()) for c in ("doc", "part", "a", "e")})
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (start[1:] > start[:-1] + width)
+    i = np.flatnonzero(new)
+    j = np.append(i[1:], len(own)) - 1
+    o = own[i]
+    return pa.table({"doc": doc[o], "part": part[o], "a": a[o] + start[i], "e": a[o] + start[j] + width})
+
+
 def removed_spans(docs: DataFrame, width: int = WIDTH, hot: int = HOT, size: int = COLLECTION) -> DataFrame:
     """(doc, part, a, e): spans of bytes, possibly overlapping, that cover what is to be removed.
 
-    doc is doc_id, the largest long where it is null; part tells rows with one id and different texts apart.
+    doc is doc_id, the largest long where it is null; part tells rows with one id and different texts apart. A gram with more than ``hot`` distinct runs
+    is split by the bytes around it; where these too have more distinct strings, their windows, which differ in fewer bytes than ``STEP``, are settled one by one.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     d = _keyed(docs)
     pend = d.mapInArrow(lambda it: _pending(it, width), "h long, sig long, doc long, al long").repartition("h")
     same, gram = Window.partitionBy("h", "sig").orderBy("doc", "al"), Window.partitionBy("h")
@@ -390,61 +476,25 @@ def removed_spans(docs: DataFrame, width: int = WIDTH, hot: int = HOT, size: int
     if not n:
         return done
 
-    parts = max(1, -(-n.get(1, 0) // size))
     asked = kept.where("what > 0").groupBy("doc", "part").agg(F.collect_list(F.struct("h", "a", "e", "what")).alias("runs"))
     cut = d.withColumnRenamed("doc", "_d").withColumnRenamed("part", "_p").join(asked, (F.col("_d") == F.col("doc")) & (F.col("_p") == F.col("part"))).select("doc", "part", "text", "runs")
-
-    def strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for b in it:
-            for i in range(0, b.num_rows, 64):
-                out: list[tuple] = []
-                for doc, part, text, asked in zip(*(c.slice(i, 64).to_pylist() for c in b.columns)):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    for r in asked:
-                        if r["what"] == 1:
-                            out.append((r["h"], doc, part, r["a"], raw[r["a"] : r["e"]]))
-                        else:
-                            out += [(-1, doc, part, x, xxhash.xxh3_128_digest(raw[x : x + width])) for x in range(r["a"], r["e"] - width + 1)]
-                if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["h", "doc", "part", "a", "s"])
-
-    found = cut.mapInArrow(strings, "h long, doc long, part long, a long, s binary")
-    if n.get(2):
-        found = written(found, "strings")
-
-    def settle(t: pa.Table) -> pa.Table:
-        # rows that repeat an id and a text bring the same strings: once is enough
-        t = t.group_by(["h", "doc", "part", "a", "s"]).aggregate([])
-        s = t.column("s").to_pylist()
-        doc, part, a = (t.column(c).to_numpy() for c in ("doc", "part", "a"))
-        by = np.lexsort((part, doc))
-        rank = np.empty(len(by), np.int64)
-        new = np.ones(len(by), bool)
-        new[1:] = (doc[by][1:] != doc[by][:-1]) | (part[by][1:] != part[by][:-1])
-        rank[by] = np.cumsum(new)
-        own, start = settled(s, t.column("h").to_numpy(), np.stack([rank, a], 1), width)
-        if not len(own):
-            return pa.table({c: pa.array([], pa.int64()) for c in ("doc", "part", "a", "e")})
-        new = np.ones(len(own), bool)
-        new[1:] = (own[1:] != own[:-1]) | (start[1:] > start[:-1] + width)
-        i = np.flatnonzero(new)
-        j = np.append(i[1:], len(own)) - 1
-        o = own[i]
-        return pa.table({"doc": doc[o], "part": part[o], "a": a[o] + start[i], "e": a[o] + start[j] + width})
-
-    bucket = F.pmod(F.xxhash64("h"), F.lit(parts)).alias("bucket")
-    cold = found.where("h >= 0").select("h", "doc", "part", "a", "s", bucket).groupBy("bucket").applyInArrow(lambda t: settle(t.select(["h", "doc", "part", "a", "s"])), "doc long, part long, a long, e long")
-    spans = done.unionByName(written(cold, "spans"))
+    found, total, late = _strings(cut, width), n.get(1, 0), None
     if n.get(2):
-        w = found.where("h < 0").select("doc", "part", "a", "s").distinct()
+        found = scratch.written(found, "strings")
+        split = found.where("split")
+        total += split.count()
+        large = split.groupBy("key", F.xxhash64("s").alias("x")).agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key")
+        large = scratch.written(large, "large")
+        w = _windows(split.join(large, "key", "left_semi"), width).distinct()
         first = w.groupBy("s").agg(F.min(F.struct("doc", "part", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        late = w.join(first, "s").where(F.struct("doc", "part", "a") != F.col("first"))
-        spans = spans.unionByName(late.select("doc", "part", "a", (F.col("a") + width).alias("e")))
+        late = w.join(first, "s").where(F.struct("doc", "part", "a") != F.col("first")).select("doc", "part", "a", (F.col("a") + width).alias("e"))
+        found = found.where("not split").unionByName(split.join(large, "key", "left_anti"))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // size)))).alias("bucket")
+    spans = found.select("h", "doc", "part", "a", "s", bucket).groupBy("bucket").applyInArrow(lambda t: _settle(t.select(["h", "doc", "part", "a", "s"]), width), "doc long, part long, a long, e long")
+    spans = written(spans if late is None else spans.unionByName(late), "spans")
+    scratch.clear()
     free_shuffles(spark)
-    return spans
+    return done.unionByName(spans)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -490,12 +540,14 @@ def dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT, size: int = COLLE
 def cleaned(docs: DataFrame, width: int = WIDTH, hot: int = HOT, size: int = COLLECTION) -> DataFrame:
     """docs, all columns, with the repeated bytes gone from text and n_chars, where there is one, counted anew.
 
-    A character of which some bytes go goes wholly. A document that loses all its text stays, with an empty one.
+    A character of which some bytes go goes wholly. A document that loses all its text stays, with an empty one. Null texts stay null, null ids count
+    as one largest id, rows that repeat an id and a text are one document and get the same result; no rows give none; columns may have any names.
     """
-    spans = removed_spans(docs, width, hot, size).groupBy(F.col("doc").alias("__d"), F.col("part").alias("__p")).agg(F.collect_list(F.struct("a", "e")).alias("__spans"))
+    doc, part, d, p, found = unused(docs, "doc", "part", "of_doc", "of_part", "spans")
+    spans = removed_spans(docs, width, hot, size).groupBy(F.col("doc").alias(d), F.col("part").alias(p)).agg(F.collect_list(F.struct("a", "e")).alias(found))
     text = F.coalesce("text", F.lit(""))
-    d = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__part": F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1))})
-    rows = d.join(spans, (F.col("__doc") == F.col("__d")) & (F.col("__part") == F.col("__p")), "left").select(*docs.columns, "__spans")
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), part: F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1))})
+    rows = keyed.join(spans, (F.col(doc) == F.col(d)) & (F.col(part) == F.col(p)), "left").drop(doc, part, d, p)
     at, schema = docs.columns.index("text"), docs.schema
     n_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -518,3 +570,19 @@ def cleaned(docs: DataFrame, width: int = WIDTH, hot: int = HOT, size: int = COL
                 yield pa.RecordBatch.from_arrays(cols, part.schema.names[:-1])
 
     return rows.mapInArrow(of, schema)
+
+
+#: The query for DuckDB: every window of every text, in blocks of 512 places, grouped by its bytes.
+SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT r, doc_id, o, substr(h, 2 * o + 1, 2 * (512 + {WIDTH} - 1)) AS p FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2, 512)) AS o FROM d)),
+w AS MATERIALIZED (SELECT r, doc_id, o + i AS pos, substr(p, 2 * i + 1, 2 * {WIDTH}) AS s FROM (SELECT *, unnest(range(0, least(512, len(p) // 2 - {WIDTH} + 1))) AS i FROM b WHERE len(p) >= 2 * {WIDTH})),
+f AS (SELECT s, min(struct_pack(a := doc_id, b := pos)) AS f FROM w GROUP BY s HAVING count(*) > 1),
+x AS (SELECT DISTINCT r, pos FROM w JOIN f USING (s) WHERE (doc_id, pos) <> (f.f.a, f.f.b)),
+n AS (SELECT r, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY r ORDER BY pos) <= {WIDTH} THEN 0 ELSE 1 END AS new FROM x),
+g AS (SELECT r, pos, sum(new) OVER (PARTITION BY r ORDER BY pos) AS g FROM n),
+sp AS MATERIALIZED (SELECT r, min(pos) AS a, max(pos) + {WIDTH} AS e FROM g GROUP BY r, g),
+k AS (SELECT r, count(*) AS n_spans, sum(e - a) AS n_removed, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(e) + 1) AS kept
+  FROM (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM sp) JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)"""

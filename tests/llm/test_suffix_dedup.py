@@ -114,3 +114,35 @@ def test_runs_share_a_gram_where_windows_are_equal():
         for i in range(x, y + 1):
             of.setdefault((t if k == 0 else t[1000:2000])[i : i + 100], set()).add(int(g))
     assert all(len(g) == 1 for g in of.values()) and len(of) == 4901
+
+
+def test_splits_keep_equal_windows_together():
+    r = np.random.default_rng(3)
+    for kinds in ("abcdefgh", "ab"):
+        t = "".join(r.choice(list(kinds), 3000)).encode()
+        texts = [t, t[500:1500] + t[:700], t[1200:]]
+        of = {}
+        text, a, b, h, _ = sd.runs(texts)
+        for k, x, y, g in zip(text.tolist(), a.tolist(), b.tolist(), h.tolist()):
+            run = texts[k][x : y + 100]
+            got = sd._split(run, g, 100)
+            assert [i + j for _, i, s in got for j in range(len(s) - 99)] == list(range(y - x + 1)) and all(run[i : i + len(s)] == s for _, i, s in got)
+            for key, i, s in got:
+                for j in range(len(s) - 99):
+                    of.setdefault(s[j : j + 100], set()).add(key)
+        assert all(len(keys) == 1 for keys in of.values())
+
+
+def test_one_gram_with_many_contexts(docs_of):
+    """A common phrase whose surroundings are now the same, now not: split by context, and the largest groups window by window."""
+    r = random.Random(12)
+    word = lambda n: "".join(r.choices("abcdefghijklmnop", k=n))
+    phrase, left, right = "!" * 3 + "the phrase that all hold" + "?" * 3, [word(80) for _ in range(6)], [word(80) for _ in range(6)]
+    rows = [(i, word(5) + r.choice(left)[r.randrange(0, 40) :] + phrase + r.choice(right)[: r.randrange(30, 80)] + word(r.randrange(0, 9))) for i in range(250)]
+    want = digest_rows(rows)
+    for hot in (100, 12, 3):
+        assert got(sd.dedup(docs_of(rows), hot=hot, size=50)) == want
+
+
+def test_query_equals_sql(compare, sf):
+    compare(queries.QUERIES["op4_suffix_dedup"], queries.ORACLES["op4_suffix_dedup"], sf)
