@@ -4,7 +4,8 @@ Two facts make a join exact. Between a non-space and a following space the pre-t
 starts a new match, whatever stands around them; so what lies between two such places is encoded as
 by itself, and the ids outside stay as they were. Inside one long match without spaces, a sequence of tokens
 is the encoding of its bytes if and only if each neighbouring pair is; so a re-encoded window around the
-boundary is right once it fits its neighbours on both sides. Both windows grow until that holds.
+boundary is right once it fits its neighbours on both sides. Both windows grow until that holds. The tree's leaves merge by rank here;
+no other tokenizer takes part.
 """
 
 from __future__ import annotations
@@ -13,15 +14,19 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import pick
 
-LEAF = 2048
-PIECE = 512
-WINDOW = 48
+#: Characters of a text's leaf, and the window at first re-encoded around its ends.
+LEAF, WINDOW = 2048, 48
+#: Bytes of a match's leaf, which merges by rank alone.
+PIECE = 32
+#: Matches that are remembered.
+CACHE = 1 << 18
 
 
 class TreeBpe:
@@ -29,51 +34,80 @@ class TreeBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, piece: int = PIECE, window: int = WINDOW):
         import regex
-        import tiktoken
 
-        self.tok = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.ranks, self.leaf, self.piece, self.window = ranks, leaf, piece, window
+        self.ranks, self.leaf, self.piece, self.window = ranks, leaf, max(1, piece), window
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
             self.bytes_of[i] = b
-        self.pair = lru_cache(1 << 16)(lambda a, b: self._small(self.bytes_of[a] + self.bytes_of[b]) == [a, b])
-
-    def _small(self, piece: bytes) -> list[int]:
-        return self.tok._encode_single_piece(piece)
+        self.pair = lru_cache(1 << 16)(lambda a, b: self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b])
+        self.names = [str(i) for i in range(len(self.bytes_of))]
+        self.known: dict[str, list[int]] = {}
+
+    def merge(self, piece: bytes) -> list[int]:
+        """The base case: while two neighbours join to a token, those of the lowest rank do, the leftmost of equals."""
+        rank, n = self.ranks.get, len(piece)
+        end, left = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a byte; 0: none does any more
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, e = heappop(heap)
+            j = end[i]
+            if not j or j >= n or end[j] != e:
+                continue  # one of the two has joined another
+            end[i], end[j] = e, 0
+            if e < n:
+                left[e] = i
+                if (r := rank(piece[i : end[e]])) is not None:
+                    heappush(heap, (r, i, end[e]))
+            if i and (r := rank(piece[left[i] : e])) is not None:
+                heappush(heap, (r, left[i], e))
+        out, at = [], 0
+        while at < n:
+            out.append(self.ranks[piece[at : end[at]]])
+            at = end[at]
+        return out
 
     def match(self, piece: bytes) -> list[int]:
-        """One match of the pattern: halves, joined by a window that grows until it fits on both sides."""
+        """One match of the pattern: a token as it is, or else the tree of its halves."""
+        return [self.ranks[piece]] if piece in self.ranks else self.tree(piece)
+
+    def tree(self, piece: bytes) -> list[int]:
+        """Halves, joined by a window that grows until it fits on both sides."""
         if len(piece) <= self.piece:
-            return self._small(piece)
+            return self.merge(piece)
         mid = len(piece) // 2
-        return self._join_tokens(self.match(piece[:mid]), self.match(piece[mid:]))
+        return self._join_tokens(self.tree(piece[:mid]), self.tree(piece[mid:]))
 
     def _join_tokens(self, a: list[int], b: list[int]) -> list[int]:
-        w = 4
+        w = 2
         while True:
             i, j = max(0, len(a) - w), min(len(b), w)
-            mid = b"".join(self.bytes_of[t] for t in a[i:] + b[:j])
-            ids = self._small(mid)
+            ids = self.merge(b"".join(self.bytes_of[t] for t in a[i:] + b[:j]))
             if (i == 0 or self.pair(a[i - 1], ids[0])) and (j == len(b) or self.pair(ids[-1], b[j])):
                 return a[:i] + ids + b[j:]
             w *= 2
 
     def window_ids(self, text: str) -> list[int]:
-        """Encodes a leaf or a window, itself no join: match by match where a match may be long."""
-        if len(text) <= 4 * self.leaf:
-            return self.tok.encode_ordinary(text)
-        return [i for m in self.pattern.finditer(text) for i in self.match(m.group().encode("utf-8", "replace"))]
+        """Encodes a leaf or a window, itself no join: match by match, each by its own tree."""
+        known, out = self.known, []
+        for m in self.pattern.findall(text):
+            ids = known.get(m)
+            if ids is None:
+                ids = self.match(m.encode("utf-8", "replace"))
+                if len(m) <= 64:
+                    if len(known) >= CACHE:
+                        known.clear()
+                    known[m] = ids
+            out += ids
+        return out
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text, from the tree of its halves."""
         text = text.encode("utf-8", "surrogatepass").decode("utf-8", "replace")
-        if len(text) <= self.leaf:
-            return self.tok.encode_ordinary(text)
         cuts = list(range(self.leaf, len(text), self.leaf))
         # a text without a sync point at all is one window: its long matches are halved instead
-        nodes = []
-        at = 0
+        nodes, at = [], 0
         for c in [*cuts, len(text)]:
             nodes.append((at, c, self.window_ids(text[at:c])))
             at = c
@@ -155,10 +189,10 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataF
         t = loaded(path, pattern)
         for b in batches:
             n, x, y, kept = [], [], [], []
-            for text in b.column(1).to_pylist():
-                got = t.encode(text or "")
+            for k in range(b.num_rows):
+                got = t.encode(b.column(1)[k].as_py() or "")
                 n.append(len(got))
-                x.append(hashlib.sha256(" ".join(map(str, got)).encode()).hexdigest())
+                x.append(hashlib.sha256(" ".join(map(t.names.__getitem__, got)).encode()).hexdigest())
                 y.append(hashlib.sha256(t.decode(got)).hexdigest())
                 if ids:
                     kept.append(got)
@@ -179,7 +213,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = loaded(path, pattern)
         for b in batches:
-            texts = [t.decode(i or []).decode("utf-8", "replace") for i in b.column(1).to_pylist()]
+            texts = [t.decode(b.column(1)[k].as_py() or []).decode("utf-8", "replace") for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     d = pick(encoded, "doc_id", "ids").select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
