@@ -76,19 +76,20 @@ RULES = (
     ("Public-domain", r",PublicDomain,"),
     ("Proprietary", r",CopyrightLine,AllRights,|,AllRights,"),
 )
-#: The SQL's sentences end at a line's end, or at . ! ? ; before white space; so do those of ``scan`` where texts are not wrapped.
-BREAK = r"\n+|[.!?;][ \t\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HINT = "licen|copyright|permission|redistribution|public domain|warrant|rights reserved|lgpl|gpl|cc0|cc[ -]by|creative commons|apache|mpl|later version|neither the name|obtain a copy|" + r"\(c\)"
-
-#: HINT for texts that are not normalised: anything but letters and digits may stand where a normal sentence has a space.
-WIDE_HINT = HINT.replace("cc[ -]by", "cc by").replace(" ", "[^a-z0-9]+")
+_SPACE = r"[ \t\n\x0b\f\r]"
+#: What a sentence must hold to be looked up at all; anything but letters and digits may stand between words.
+HINT = "licen|copyright|permission|redistribution|public domain|warrant|rights reserved|lgpl|gpl|cc0|cc by|creative commons|apache|mpl|later version|neither the name|obtain a copy".replace(" ", "[^a-z0-9]+") + r"|\(c\)"
+#: What comments begin and end their lines with.
+LEADER = r"^[ \t]*(?:/\*+|\*+/|//+|#+|\*+|--+|;+|%+)[ \t]*"
 #: Lines that are sentences of their own: a title, a copyright line with its year.
-ALONE = r"(?m)^[ \t#*/-]*(?:(?:the )?mit license|all rights reserved\.?|(?:copyright|\(c\))[^\n]*\b[12][0-9]{3}\b[^\n]*)[ \t\r]*$"
-#: A single line end is white space, except before what begins a known sentence; "or any later version" is a sentence of its own.
-WRAPPED_BREAK = (r"\n[ \t\r]*\n\s*|[.!?;]\s+|\n(?=[ \t\r#*/-]*(?:\d+[.)][ \t]+)?(?:permission (?:is hereby granted|to use)|redistributions? (?:and use|of source|in binary)|neither the name of"
-                 r"|the above copyright notice and|you may (?:not use|obtain)|this is free and unencumbered|all rights reserved|(?:or )?(?:\(?at your option\)? )?any later version))"
-                 r"|,?\s+(?=or\s+(?:\(?at\s+your\s+option\)?\s+)?any\s+later\s+version)")
+ALONE = r"^[ \t#*/-]*(?:(?:the )?mit license|all rights reserved\.?|(?:copyright|\(c\))[^\n]*\b[12][0-9]{3}\b[^\n]*)[ \t\r]*$"
+#: A single line end is white space, as texts are wrapped, except before what begins a known sentence.
+STARTS = (r"[ \t\r#*/-]*(?:\d+[.)][ \t]+)?(?:permission (?:is hereby granted|to use)|redistributions? (?:and use|of source|in binary)|neither the name of"
+          r"|the above copyright notice and|you may (?:not use|obtain)|this is free and unencumbered|all rights reserved|(?:or )?(?:\(?at your option\)? )?any later version)")
+#: "or any later version" is a sentence of its own.
+LATER = rf"or{_SPACE}+(?:\(?at{_SPACE}+your{_SPACE}+option\)?{_SPACE}+)?any{_SPACE}+later{_SPACE}+version"
+BREAK = rf"\n[ \t\r]*\n{_SPACE}*|[.!?]{_SPACE}+|\n(?={STARTS})|,?{_SPACE}+(?={LATER})"
 
 
 def _normal(s: Column) -> Column:
@@ -111,7 +112,7 @@ def scan(docs: DataFrame, sentences=SENTENCES, rules=RULES) -> DataFrame:
         return out
 
     def ids(t: Column) -> Column:
-        found = F.filter(F.split(F.regexp_replace(t, ALONE, "\n\n$0\n\n"), WRAPPED_BREAK), lambda s: s.rlike(WIDE_HINT))
+        found = F.filter(F.split(F.regexp_replace(F.regexp_replace(t, "(?md)" + LEADER, ""), "(?md)" + ALONE, "\n\n$0\n\n"), BREAK), lambda s: s.rlike(HINT))
         return F.filter(F.transform(F.transform(found, _normal), known), lambda x: x.isNotNull())
 
     def apply(x: Column) -> Column:
@@ -123,13 +124,20 @@ def scan(docs: DataFrame, sentences=SENTENCES, rules=RULES) -> DataFrame:
         return F.when(F.size(x) > 0, F.array_join(F.array_distinct(F.aggregate(table, start, step, lambda a: a["found"])), ",")).otherwise("")
 
     text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    low = F.when(F.col("text").rlike("(?i)" + WIDE_HINT), text).otherwise("")
+    low = F.when(F.col("text").rlike("(?i)" + HINT), text).otherwise("")
     return pick(docs, "doc_id", "text").select("doc_id", let(low, lambda t: let(ids(t), lambda x: F.struct(
         F.size(x).cast("long").alias("n_sentences"), F.array_join(x, ",").alias("sentence_ids"), apply(x).alias("licenses")))).alias("s")).select("doc_id", "s.*")
 
 
 def _sql() -> str:
+    """The same for an engine whose patterns look neither ahead nor behind: breaks become a mark, one kind after another, with what follows put back."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
+    mark, keep = "chr(57344)", "chr(57345)"
+    marked = f"regexp_replace(regexp_replace(translate(text, '{UPPER}', '{LOWER}'), {q('(?m)' + LEADER)}, '', 'g'), {q('(?m)' + ALONE)}, chr(10) || chr(10) || '\\0' || chr(10) || chr(10), 'g')"
+    for pattern, back in ((rf",?{_SPACE}+({LATER})", True), (rf"\n({STARTS})", True), (rf"\n[ \t\r]*\n{_SPACE}*", False), (rf"[.!?]{_SPACE}+", False)):
+        marked = f"regexp_replace({marked}, {q(pattern)}, {mark}{back and " || '\\1'" or ''}, 'g')"
+    plain = f"regexp_replace(replace(s, '(c)', {keep}), '[^a-z0-9.,/+ \\x{{E001}}-]+', ' ', 'g')"
+    normal = f"regexp_replace(regexp_replace(replace({plain}, {keep}, '(c)'), ' +', ' ', 'g'), '^[ .,]+|[ .,]+$', '', 'g')"
     known = "CASE " + " ".join(f"WHEN regexp_matches(s, {q(p)}) THEN {q(n)}" for n, p in SENTENCES) + " END"
     steps, last = [], "r0"
     for k, (name, p) in enumerate(RULES):
@@ -137,8 +145,9 @@ def _sql() -> str:
         last = f"r{k + 1}"
     return f"""
 WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-s AS (SELECT r, unnest(regexp_split_to_array(translate(text, '{UPPER}', '{LOWER}'), {q(BREAK)})) AS s, generate_subscripts(regexp_split_to_array(translate(text, '{UPPER}', '{LOWER}'), {q(BREAK)}), 1) AS i FROM t),
-n AS (SELECT r, i, regexp_replace(regexp_replace(regexp_replace(s, '[^a-z0-9.,()/+ -]+', ' ', 'g'), ' +', ' ', 'g'), '^[ .,]+|[ .,]+$', '', 'g') AS s FROM s WHERE regexp_matches(s, {q(HINT)})),
+m AS MATERIALIZED (SELECT r, string_split({marked}, {mark}) AS ss FROM t WHERE regexp_matches(text, {q('(?i)' + HINT)})),
+s AS (SELECT r, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM m),
+n AS (SELECT r, i, {normal} AS s FROM s WHERE regexp_matches(s, {q(HINT)})),
 k AS MATERIALIZED (SELECT r, list(id ORDER BY i) AS ids FROM (SELECT r, i, {known} AS id FROM n) WHERE id IS NOT NULL GROUP BY r),
 r0 AS (SELECT r, CAST([] AS VARCHAR[]) AS found, ',' || array_to_string(ids, ',') || ',' AS q FROM k),
 {", ".join(steps)},
