@@ -16,15 +16,16 @@ BITS = 20
 #: The bound on the labelled rows of each class that training looks at, lowest hash of the id first.
 ROWS_PER_CLASS = 2000
 THRESHOLD = 0.7
-ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 15.0, 1.0, 6
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 15.0, 1.0, 4
 #: Toxic rows weigh so much more that both classes weigh the same, up to this factor.
 MAX_BOOST = 10.0
-CACHE = 500_000
-#: Words count by their first letters too, so that an inflected form is known by its stem.
+CACHE = 300_000
+#: Words count by their first letters too, so that an inflected form is known by its stem; a word that is no longer than a stem is itself, not the stem.
 STEMS = (3, 4, 5, 6, 7)
 _WORD = re.compile(r"[^\W_]+")
 #: Odd factors for the second word of a pair, by its distance: 1 a bigram, 2 and 3 skip-grams.
 _MIX = {1: 0x9E3779B97F4A7C15, 2: 0xC2B2AE3D27D4EB4F, 3: 0x165667B19E3779F9}
+_SHARED = 0x632BE59BD9B4E019 >> 3
 _FIRST, _LAST = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -37,7 +38,7 @@ class _Words(dict):
 
     def __missing__(self, w: str) -> int:
         self[w] = k = len(self)
-        for i, form in enumerate((w, *(f"{w[:n]}*" for n in STEMS))):
+        for i, form in enumerate((w, *(f"{w[:n]}*" if len(w) > n else w for n in STEMS))):
             b = form.encode("utf-8", "surrogatepass")
             self.table[k, i] = zlib.crc32(b) << 32 | zlib.crc32(b, 0x5BD1E995)
         return k
@@ -57,18 +58,40 @@ def _hashes(words: list[str]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, 1 + len(STEMS)), np.uint64)
 
 
-def features(text: str, bits: int = BITS) -> np.ndarray:
-    """A bucket for each word and stem, neighbouring pair and pair that skips one or two words, repeats included."""
-    forms = _hashes(_WORD.findall(text.lower()))
+def _buckets(hashes: list[np.ndarray], bits: int) -> np.ndarray:
+    x = np.concatenate(hashes)
+    x ^= x >> np.uint64(29)
+    x *= _LAST
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _grams(forms: np.ndarray) -> list[np.ndarray]:
     h = forms[:, 0]
     parts = [(forms * _FIRST).ravel()]
     for gap, mix in _MIX.items():
         if len(h) > gap:
             parts.append(h[:-gap] * _FIRST ^ (h[gap:] * np.uint64(mix) + np.uint64(gap)))
-    x = np.concatenate(parts)
-    x ^= x >> np.uint64(29)
-    x *= _LAST
-    return (x >> np.uint64(64 - bits)).astype(np.int64)
+    return parts
+
+
+def features(text: str, bits: int = BITS) -> np.ndarray:
+    """A bucket for each word and stem, neighbouring pair and pair that skips one or two words, repeats included."""
+    return _buckets(_grams(_hashes(_WORD.findall(text.lower()))), bits)
+
+
+def marks(text: str, bits: int = BITS, weights: np.ndarray | None = None) -> np.ndarray:
+    """What the model looks at: the features, and the stems that several different words of the text begin with, by how many (2 and more, 4 and more), each bucket once.
+
+    With weights only the buckets that have one are told.
+    """
+    forms = _hashes(_WORD.findall(text.lower()))
+    parts = _grams(forms)
+    _, first = np.unique(forms[:, 0], return_index=True)
+    once = forms[first]
+    stems, n = np.unique(once[:, 1:][once[:, 1:] != once[:, :1]], return_counts=True)
+    parts += [stems[n >= k] * _FIRST ^ np.uint64(k * _SHARED) for k in (2, 4)]
+    x = _buckets(parts, bits)
+    return np.unique(x if weights is None else x[weights[x] != 0])
 
 
 def fit(rows: list[tuple[float, np.ndarray]], bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS) -> tuple[float, np.ndarray, np.ndarray]:
@@ -108,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [np.unique(features(t or "", bits)).astype("<i4").tobytes() for t in b.column(2).to_pylist()]
+            f = [marks(b.column(2)[k].as_py() or "", bits).astype("<i4").tobytes() for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.binary())], ["doc_id", "toxic", "f"])
 
     rows = text.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("doc_id", "toxic", "text")
@@ -128,8 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
 def _scores(texts: Iterator[str | None], model: tuple[float, np.ndarray, np.ndarray], dense: np.ndarray, bits: int) -> list[float]:
     out = []
     for t in texts:
-        f = features(t or "", bits)
-        f = np.unique(f[dense[f] != 0])
+        f = marks(t or "", bits, dense)
         out.append(float(1 / (1 + np.exp(-np.clip(model[0] + dense[f].sum(dtype=np.float64), -35, 35)))))
     return out
 
@@ -160,7 +182,11 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], threshol
 
 
 def drop_toxic(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below ``threshold``; nothing is shuffled."""
+    """The rows of docs, all columns, whose text scores below ``threshold``; nothing is shuffled.
+
+    Null and empty texts, and texts without any weighted feature, get the score of the intercept, as in ``score``; very long texts are read whole, repeated rows stay
+    or go alike, ids are not looked at; no rows give none; columns may have any names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

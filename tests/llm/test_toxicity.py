@@ -25,8 +25,7 @@ def test_held_out_accuracy(judged):
     auc = sum(i for i, (_, y) in enumerate(s, 1) if y) - (tp + fn) * (tp + fn + 1) / 2
     auc /= (tp + fn) * (tn + fp)
     print(f"recall {tp / (tp + fn):.3f}, false positives {fp / (fp + tn):.4f}, area {auc:.4f}")
-    # set after a recall of 0.868 was seen, where 0.9 was asked for at first: see the README
-    assert auc > 0.97 and tp / (tp + fn) > 0.85 and fp / (fp + tn) < 0.02
+    assert auc > 0.97 and tp / (tp + fn) > 0.9 and fp / (fp + tn) < 0.02
 
 
 def test_weights_are_sparse_and_labels_held_out_do_not_matter(spark, docs_of):
@@ -82,3 +81,61 @@ def test_very_long_text_equals_its_words():
     assert len(toxicity.features(long)) == 300_000 * 9 - 6
     small = toxicity.features("w0 w1 w2 w3")
     assert set(small.tolist()) <= set(toxicity.features(long).tolist())
+
+
+def brute_marks(text):
+    """The buckets of a text, each hash and mix written out with plain integers."""
+    import re
+
+    m64 = (1 << 64) - 1
+    a, c, skips = 0xFF51AFD7ED558CCD, 0x2545F4914F6CDD1D, {1: 0x9E3779B97F4A7C15, 2: 0xC2B2AE3D27D4EB4F, 3: 0x165667B19E3779F9}
+    of = lambda s: zlib.crc32(s.encode()) << 32 | zlib.crc32(s.encode(), 0x5BD1E995)
+
+    def bucket(x):
+        x = (x ^ x >> 29) * c & m64
+        return x >> 44
+
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    out, starts = set(), {}
+    for w in words:
+        out.add(bucket(of(w) * a & m64))
+        for n in (3, 4, 5, 6, 7):
+            if len(w) > n:
+                out.add(bucket(of(w[:n] + "*") * a & m64))
+                starts.setdefault(w[:n] + "*", set()).add(w)
+    for gap, mix in skips.items():
+        for x, y in zip(words, words[gap:]):
+            out.add(bucket((of(x) * a & m64) ^ (of(y) * mix + gap & m64)))
+    for stem, ws in starts.items():
+        for k in (2, 4):
+            if len(ws) >= k:
+                out.add(bucket((of(stem) * a & m64) ^ (k * (0x632BE59BD9B4E019 >> 3))))
+    return out
+
+
+def test_query_equals_a_model_by_hand(spark):
+    """Features, sample, training and scores written out for the smallest tables, on which the bound on the sample does not bind."""
+    d = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    labels = {(r["doc_id"], r["toxic"]) for r in spark.read.parquet(f"{d}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    marks = {i: sorted(brute_marks(t)) for i, t in docs.items()}
+    rows = sorted(((i, y) for i, y in labels if i in docs), key=lambda r: (zlib.crc32(str(r[0]).encode(), 7), r))
+    rare = sum(y for _, y in rows)
+    boost = min(toxicity.MAX_BOOST, max(1.0, (len(rows) - rare) / rare))
+    n, z, w, n0, z0, b = {}, {}, {}, 0.0, 0.0, 0.0
+    for _ in range(toxicity.EPOCHS):
+        for i, y in rows:
+            p = 1 / (1 + np.exp(-min(35, max(-35, b + sum(w.get(k, 0.0) for k in marks[i])))))
+            g = (p - y) * (boost if y else 1.0)
+            for k in marks[i]:
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (np.sqrt(old + g * g) - np.sqrt(old)) / toxicity.ALPHA * w.get(k, 0.0)
+                n[k] = old + g * g
+                w[k] = 0.0 if abs(z[k]) <= toxicity.L1 else -(z[k] - np.sign(z[k]) * toxicity.L1) / ((toxicity.BETA + np.sqrt(n[k])) / toxicity.ALPHA + toxicity.L2)
+            z0 += g - (np.sqrt(n0 + g * g) - np.sqrt(n0)) / toxicity.ALPHA * b
+            n0 += g * g
+            b = -z0 / ((toxicity.BETA + np.sqrt(n0)) / toxicity.ALPHA)
+    want = {i: 1 / (1 + np.exp(-min(35, max(-35, b + sum(w.get(k, 0.0) for k in marks[i]))))) for i in docs}
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in queries.QUERIES["op2_toxicity"](spark, d).collect()}
+    assert got.keys() == want.keys() and any(w.values())
+    assert all(abs(got[i][0] - want[i]) < 1e-5 and got[i][1] == (got[i][0] >= 0.7) for i in want)
