@@ -87,19 +87,30 @@ def text_stats(docs: DataFrame) -> DataFrame:
 def host_rates(judged: DataFrame) -> DataFrame:
     """(source, n_docs, n_failed, rate): rate is the mean of the beta posterior.
 
-    judged has source and base_failed. The prior's two parameters come from the mean and the variance of
-    the hosts' raw rates (method of moments); where these do not vary, or one host is all there
-    is, the prior counts as one document with the mean rate. Rows without a source are no host.
+    judged has source and base_failed. The prior's mean is the mean of all rows, and its strength, in documents, comes from how much more
+    the hosts' rates scatter than draws of their sizes from one rate would (moments, hosts weighted by their rows): small hosts scatter by chance,
+    which must not pass for a weak prior. No more scatter than chance makes the prior as strong as all rows; one host alone, or rates that are all
+    0 or 1, make it count as one document. Rows without a source are no host.
     """
     hosts = judged.where("source is not null").groupBy("source").agg(
         F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    raw = F.col("n_failed") / F.col("n_docs")
-    m = hosts.agg(F.avg(raw).alias("mean"), F.var_samp(raw).alias("var")).first()  # two numbers
-    mean, var = m["mean"] or 0.0, m["var"] or 0.0
-    strength = max(mean * (1 - mean) / var - 1, 1.0) if var > 0 else 1.0
+    n, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    s = hosts.agg(F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(f * f / n).alias("ff"), F.sum(n * n).alias("nn")).first()  # five numbers
+    mean, strength = prior(s["k"], s["n"] or 0.0, s["f"] or 0.0, s["ff"] or 0.0, s["nn"] or 0.0)
     return hosts.withColumn("rate", (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength)))
 
 
+def prior(k: int, n: float, f: float, ff: float, nn: float) -> tuple[float, float]:
+    """(mean, strength) from the hosts' number and the sums of n, f, f*f/n and n*n over them."""
+    mean = f / n if n else 0.0
+    spread = mean * (1 - mean)
+    room = spread * (n - nn / n - (k - 1)) if n else 0.0
+    if room <= 0:
+        return mean, 1.0
+    within = (ff - f * f / n - spread * (k - 1)) / room  # the correlation of two rows of one host: 1 / (strength + 1)
+    return mean, n if within <= 0 else min(n, max(1.0, 1 / within - 1))
+
+
 def judge(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """One row per document with its counts, base_failed and kept.
 
@@ -135,8 +146,9 @@ b AS (SELECT t.doc_id, t.source, len(ws) AS n_words, length(array_to_string(ws,
       FROM t JOIN w USING (r) JOIN li USING (r) LEFT JOIN cov USING (r)),
 j AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b),
 h AS (SELECT source, count(*) AS n, sum(base_failed::BIGINT) AS f FROM j WHERE source IS NOT NULL GROUP BY source),
-m AS (SELECT coalesce(avg(f / n), 0) AS mean, coalesce(var_samp(f / n), 0) AS var FROM h),
-p AS (SELECT mean, CASE WHEN var > 0 THEN greatest(mean * (1 - mean) / var - 1, 1.0) ELSE 1.0 END AS k FROM m),
+g AS (SELECT count(*) AS k, sum(n::DOUBLE) AS n, sum(f::DOUBLE) AS f, sum(f::DOUBLE * f / n) AS ff, sum(n::DOUBLE * n) AS nn FROM h),
+m AS (SELECT *, f / n AS mean, f / n * (1 - f / n) * (n - nn / n - (k - 1)) AS room, ff - f * f / n - f / n * (1 - f / n) * (k - 1) AS more FROM g),
+p AS (SELECT mean, CASE WHEN room <= 0 THEN 1.0 WHEN more <= 0 THEN n ELSE least(n, greatest(1.0, room / more - 1)) END AS k FROM m),
 bad AS (SELECT source FROM h, p WHERE (f + mean * k) / (n + k) > {HOST_LIMIT})
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,

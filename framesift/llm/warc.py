@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -16,9 +17,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import pick, shared_dir
+from .common import pick, shared_dir, written
 
 MIN_REVISIT = 1000
+#: Digests that repeat are sent to all tasks up to so many, about 30 MB.
+SENT = 300_000
 ARCHIVE_BYTES = 8 << 20
 DICT_BYTES = 64 << 10
 #: The dictionary is built from so many bytes of an archive's records, spread evenly over them.
@@ -99,11 +102,15 @@ def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, archive_b
     Of rows with equal payloads of at least ``min_revisit`` bytes, that with the largest page_id is a response and
     those with smaller or null ids revisit it; rows that repeat the largest id are all responses, as are
     all smaller payloads. A null html is an empty payload; a null url becomes about:blank; a null id is left out of its record.
-    Payloads that occur once never meet the join's other side; a payload of a third of all rows is one row there.
+    Digests are compared first, and of those only what repeats, a row each, is joined to the payloads: sent to all tasks where it is at most ``SENT``
+    rows, so that no payload is shuffled; beyond that by shuffling both sides. A payload of a third of all rows is one row there.
     """
     p = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("sha1", _digest(F.col("html")))
     same = p.where(F.octet_length("html") >= min_revisit).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("sha1", "last")
+    same = written(same, "digests")
+    if same.limit(SENT + 1).count() <= SENT:
+        same = F.broadcast(same)
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("last")), F.col("last"))
     rows = p.join(same, "sha1", "left").select("page_id", "url", "html", F.unhex("sha1").alias("sha1"), refers.alias("refers"))
 
@@ -123,6 +130,27 @@ def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, archive_b
     rows.mapInArrow(pack, "content binary").write.option("compression", "uncompressed").parquet(path)
 
 
+def export(archives: DataFrame, folder: str) -> DataFrame:
+    """(path, bytes) of writing each archive as a file of its own, ``<hash of its content>.warc.zst``, to a folder that the executors have mounted.
+
+    Writing happens as the result is read; a task that runs twice writes the same files again, each as a whole.
+    """
+    folder = folder.removeprefix("file:").rstrip("/")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            for k in range(b.num_rows):
+                content = b.column(0)[k].as_py()
+                path = f"{folder}/{hashlib.sha256(content).hexdigest()}.warc.zst"
+                with open(f"{path}.{os.getpid()}.part", "wb") as f:
+                    f.write(content)
+                os.replace(f.name, path)
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([len(content)], pa.int64())], ["path", "bytes"])
+
+    return archives.select("content").mapInArrow(of, "path string, bytes long")
+
+
 def read(archives: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record of the archives (content binary).
 

@@ -55,6 +55,63 @@ def test_url_odd_inputs(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(df, labelled.limit(0)).collect()} == {"allow"}
 
 
+HELD_OUT = {1: ("casino-royale-bonus.test/slots/free", "vegas-poker-online.test/chips/bonus", "cheap-viagra-pills.test/order", "buy-cialis-now.test/pharma", "adult-xxx-tube.test/videos", "live-porn-cams.test/girls", "fast-payday-cash.test/loans/instant",
+                "claim-your-prize.test/winner/free", "banner-ads-popup.test/click", "track-click-server.test/redirect", "keygen-crack-serial.test/warez", "spam-links-farm.test/backlinks", "betting-odds-bonus.test/live/bet", "discount-pills.test/buy-now", "crypto-invest-bonus.test/earn/money"),
+            0: ("county-library.test/books/new", "university-physics.test/faculty/papers", "morning-news.test/article/politics", "maritime-museum.test/history/ships", "rose-garden.test/plants/pruning", "soup-recipes.test/kitchen/leek", "mountain-weather.test/forecast",
+                "climate-science.test/publications/2020", "village-council.test/minutes/may", "primary-school.test/term/dates", "children-health.test/advice", "piano-lessons.test/music/beginners", "river-maps.test/data/open", "church-history.test/documents", "film-society.test/programme/spring")}
+
+
+def test_url_model_on_urls_it_has_not_seen(spark):
+    """No word of a host here is a whole host of the training table; nor is any such host in the pages that the query judges."""
+    known = {u.split("/")[2] for u, _ in url_filter.TRAINING}
+    pages = {r["url"].split("/")[2].lower() for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").collect() if r["url"] and "://" in r["url"]}
+    hosts = {u.split("/")[0] for us in HELD_OUT.values() for u in us}
+    assert not known & pages and not hosts & known and not hosts & pages
+    rows = [(i, f"https://{u}", y) for y, us in HELD_OUT.items() for i, u in enumerate(us, 100 * y)]
+    got = {r["page_id"]: (r["verdict"] == "block") for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, y int")).collect()}
+    right = {y: sum(got[i] == bool(y) for i, _, z in rows if z == y) for y in (0, 1)}
+    print(f"blocked {right[1]} of {len(HELD_OUT[1])}, allowed {right[0]} of {len(HELD_OUT[0])}")
+    assert right[1] >= 13 and right[0] >= 13
+
+
+def test_url_rules_of_equal_length_and_large_training_tables(spark):
+    df = spark.createDataFrame([(1, "http://a.b.net/x")], "page_id long, url string")
+    for rules in ((("allow", "b.net", "/x"), ("block", "a.b.net", "")), (("block", "a.b.net", ""), ("allow", "b.net", "/x"))):
+        assert url_filter.filter_urls(df, rules=rules).first()["verdict"] == "block"
+    with pytest.raises(ValueError):
+        url_filter.train(spark, spark.range(url_filter.MOST + 1).selectExpr("concat('http://h', id) AS url", "1 AS label"))
+
+
+def test_prior_of_simulated_hosts():
+    """Small hosts scatter by chance: the prior's strength is that of the rates' own distribution, not of the raw rates."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+
+    def fit(rates, sizes):
+        f = r.binomial(sizes, rates)
+        return quality.prior(len(sizes), float(sizes.sum()), float(f.sum()), float((f * f / sizes).sum()), float((sizes.astype(float) ** 2).sum()))
+
+    for a, b in ((2, 8), (1, 3), (6, 6)):
+        for top in (4, 40):
+            sizes = r.integers(1, top + 1, 5000)
+            mean, strength = fit(r.beta(a, b, 5000), sizes)
+            assert abs(mean - a / (a + b)) < 0.02 and 0.75 < strength / (a + b) < 1.33
+            # two failures of three do not condemn a host among hosts that mostly pass
+            assert (2 + mean * strength) / (3 + strength) < 0.5 or a / (a + b) >= 0.25
+    mean, strength = fit(np.full(5000, 0.2), r.integers(1, 5, 5000))
+    assert abs(mean - 0.2) < 0.02 and strength > 50
+    assert quality.prior(0, 0, 0, 0, 0) == (0.0, 1.0) and quality.prior(1, 9, 4, 16 / 9, 81) == (4 / 9, 1.0) and quality.prior(3, 30, 0, 0, 300) == (0.0, 1.0)
+    assert quality.prior(2, 20, 10, 10, 200) == (0.5, 1.0)
+
+
+def test_quality_of_repeated_rows(docs_of):
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, good, "a"), (1, good, "a"), (1, good, None), (None, good, "a"), (2, "short", "a"), (2, "short", "a")]
+    out = sorted((str(r["doc_id"]), r["n_words"], r["kept"]) for r in quality.judge(docs_of(rows)).collect())
+    assert out == [("1", 80, True)] * 3 + [("2", 1, False)] * 2 + [("None", 80, True)]
+
+
 def counts(text):
     import re
 

@@ -64,3 +64,17 @@ def test_damage_is_seen(spark, tmp_path):
     bad = warc.archive([warc.record(1, "u", p, hashlib.sha1(b"other").digest(), None)])
     with pytest.raises(Exception, match="damaged"):
         warc.read(spark.createDataFrame([(bytearray(bad),)], "content binary")).collect()
+
+
+def test_payload_larger_than_an_archive_and_many_digests(spark, tmp_path, monkeypatch):
+    r = random.Random(5)
+    huge = "".join(r.choices("abcdefgh <>", k=3 << 20)) * 3
+    rows = [(1, "u", huge), (2, "u", huge), (3, "u", huge + "x"), (4, "u", "small")] + [(10 + i, "u", f"{i % 40}" * 900) for i in range(200)]
+    df = spark.createDataFrame(rows, PAGES).repartition(2)
+    assert len(huge) > warc.ARCHIVE_BYTES and got(warc.round_trip(df)) == brute(rows)
+    monkeypatch.setattr(warc, "SENT", 3)
+    assert got(warc.round_trip(df)) == brute(rows)
+    warc.write(df, str(tmp_path / "a"))
+    files = warc.export(spark.read.parquet(str(tmp_path / "a")), str(tmp_path / "f")).collect()
+    content = [(tmp_path / "f" / f["path"].rsplit("/", 1)[1]).read_bytes() for f in files]
+    assert sorted(map(len, content)) == sorted(f["bytes"] for f in files) and sum(len(list(warc.records_of(c))) for c in content) == len(rows)
