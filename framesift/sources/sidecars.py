@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schema as S
 from ..operators import metadata
 
+# Namespaces, class names and field names of foreign formats, which other programs read.
 _NS = {"x": "adobe:ns:meta/", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "xmp": "http://ns.adobe.com/xap/1.0/", "dc": "http://purl.org/dc/elements/1.1/",
        "photoshop": "http://ns.adobe.com/photoshop/1.0/", "framesift": "urn:framesift:1.0"}
-# Namespaces and class names of foreign formats, which other programs read.
 #: Classifications that regenerate keywords by themselves; an override takes them out.
 REGENERATING = ("ONPanopticSegmenterV0", "PartialLabelingCSL")
 ON1 = "photos map<string,struct<name:string,metadata:struct<Keywords:array<string>,Description:string,Rating:string>>>"
