@@ -38,6 +38,17 @@ def analysis_block(tool: str = S.TOOL) -> Column:
     return F.map_filter(F.create_map(*[x for k, v in fields for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
 
 
+def camel(name: Column) -> Column:
+    """snake_case as camelCase."""
+    parts = F.split(name, "_")
+    return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.initcap(x)), ""))
+
+
+def analysis_attributes(block: Column | None = None) -> Column:
+    """The block under the names of an XMP file's attributes."""
+    return F.transform_keys(analysis_block() if block is None else block, lambda k, _: camel(k))
+
+
 def analysis_summary(tool: str = S.TOOL) -> Column:
     or_dash = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "-").otherwise(F.col(c))
     role = F.when(F.col("is_best_of_group"), "best").otherwise("alternate")

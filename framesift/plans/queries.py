@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import keywords as K, measure, triage as T, views
 from ..operators import bursts, cache, edits, metadata, ranges, resolve, stats
+from ..sources import photos as sources
 from .fixture import FRAMES_SQL, photos
 
 GAP = 120
@@ -144,6 +145,11 @@ def _block(spark, d):
     return _annotated(spark, d).select("photo_id", F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"]))), "; ").alias("block"), metadata.analysis_summary().alias("summary"))
 
 
+def _attributes(spark, d):
+    m = metadata.analysis_attributes()
+    return _annotated(spark, d).select("photo_id", F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"]))), "; ").alias("attributes"))
+
+
 def _csv(spark, d):
     return metadata.csv_rows(_annotated(spark, d), "2020-01-01 00:00:00")
 
@@ -267,6 +273,14 @@ def _ready(spark, d):
     return stats.readiness(_decided(spark, d).withColumn("decision", found))
 
 
+def _dates(spark, d):
+    """Dates as cameras write them, some of which are none."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    i, text = F.col("event_id"), F.date_format("ts", "yyyy:MM:dd HH:mm:ss")
+    odd = F.when(i % 11 == 0, "0000:00:00 00:00:00").when(i % 11 == 1, "").when(i % 11 == 2, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(i % 11 == 3, F.concat(F.substring(text, 1, 5), F.lit("02:30 10:00:00"))).when(i % 11 == 4, F.lit(None))
+    return e.select(i.alias("photo_id"), F.coalesce(sources.exif_timestamp(F.when(i % 11 < 5, odd).otherwise(text)), F.expr("timestamp_ntz'2000-01-01 00:00:00'")).alias("capture_time"))
+
+
 MODELS = ("llava:7b", "moondream:latest", "gemma3:4b", "Qwen3-VL:8b-thinking", "qwen3-vl:8b-instruct", "qwen3-vl:4b-instruct", "mistral:7b")
 
 
@@ -283,7 +297,7 @@ QUERIES = {
     "top_rejects": lambda s, d: stats.top_rejects(_decided(s, d)), "top_keywords": lambda s, d: stats.top_keywords(_decided(s, d)), "top_subjects": lambda s, d: stats.top_subjects(_decided(s, d)),
     "resolve_originals": _originals, "resolve_collapse": _collapse, "sidecar_fields": _sidecar, "analysis_block": _block, "csv_projection": _csv, "report_sections": _sections,
     "cache_key": _cache_key, "cache_work_list": _work_list, "eval_matrix": _matrix, "eval_violations": _violations, "failure_runs": _failures, "model_choice": _model,
-    "exposure_stats": _stats, "measured_pixels": _measured, "perceptual_hash": _phash, "crop_box": _crop, "display_texts": _texts, "edited_fields": _edited, "default_styles": _styles, "xmp_paths": _xmp_path,
+    "xmp_attributes": _attributes, "exif_dates": _dates, "exposure_stats": _stats, "measured_pixels": _measured, "perceptual_hash": _phash, "crop_box": _crop, "display_texts": _texts, "edited_fields": _edited, "default_styles": _styles, "xmp_paths": _xmp_path,
     "results_by_name": _by_name, "resolved_by_path": _by_photo, "outcomes": _outcomes, "readiness": _ready, "pace": lambda s, d: stats.pace(photos(s, d)), "first_sources": lambda s, d: stats.first_sources(_listing(s, d), 6),
 }
 
@@ -375,9 +389,11 @@ _MERGED = lambda keep: _sql_dedupe(f"list_concat({keep}list_slice(keywords, 1, {
 _KEPT = "list_filter(old_keywords, lambda x: NOT regexp_matches(x, '^(" + "|".join(S.OWN_PREFIXES) + ")')), "
 _SEC = "CASE WHEN decision = 'Delete' THEN 1 WHEN decision = 'Review' AND NOT (contains(array_to_string(issues, '; '), 'burst of') OR contains(array_to_string(issues, '; '), 'near-duplicate')) THEN 2 WHEN decision = 'Review' THEN 3 WHEN decision = 'Keep' THEN 4 ELSE 5 END"
 _fmt = lambda c: f"printf('%.2f', {c})"
-_BLOCK = ", ".join(f"'{k}=' || {v}" for k, v in (("decision", "decision"), ("confidence", _fmt("confidence")), ("issues", "CASE WHEN len(issues) > 0 THEN array_to_string(issues, ', ') ELSE 'none' END"), ("subject_sharpness", "subject_sharpness"),
+_FIELDS = (("decision", "decision"), ("confidence", _fmt("confidence")), ("issues", "CASE WHEN len(issues) > 0 THEN array_to_string(issues, ', ') ELSE 'none' END"), ("subject_sharpness", "subject_sharpness"),
                    ("exposure", "exposure"), ("framing", "framing"), ("blur_score", _fmt("blur_score")), ("exposure_score", _fmt("exposure_score")), ("composition_score", _fmt("composition_score")),
-                   ("overall_quality", "q2"), ("reason", "nullif(verdict_reason, '')"), ("measured_sharpness", _fmt("cv_sharpness"))))
+                   ("overall_quality", "q2"), ("reason", "nullif(verdict_reason, '')"), ("measured_sharpness", _fmt("cv_sharpness")))
+_listed = lambda name: ", ".join(f"'{name(k)}=' || {v}" for k, v in _FIELDS)
+_BLOCK, _ATTRIBUTES = _listed(str), _listed(lambda k: k[0] + k.title().replace("_", "")[1:])
 # two decimals of a three-decimal value, ties up: engines differ on ties in printf
 _Q2 = "printf('%.2f', floor(round(overall_quality * 1000) / 10 + 0.5) / 100)"
 def _value(y: str, x: str) -> str:
@@ -418,6 +434,7 @@ ORACLES = {
     "resolve_collapse": _LIST + " SELECT photo, received, photo <> received AS was_redirected FROM r WHERE photo IS NOT NULL AND received NOT LIKE '%.NEF' AND lower(regexp_extract(photo, '(\\.[^./]+)$', 1)) IN ('.nef', '.heic') QUALIFY row_number() OVER (PARTITION BY lower(photo) ORDER BY photo <> received, received) = 1",
     "sidecar_fields": _A + "SELECT photo_id, CAST(CASE WHEN coalesce(old_rating, 0) = 0 THEN rating ELSE old_rating END AS INTEGER) AS on1_rating, CASE WHEN description <> '' AND old_description = '' THEN description ELSE old_description END AS on1_description, CAST(CASE WHEN coalesce(old_rating, 0) <> 0 THEN old_rating ELSE rating END AS VARCHAR) AS xmp_rating, CASE WHEN description <> '' THEN description WHEN old_description <> '' THEN old_description ELSE 'FrameSift: ' || decision END AS xmp_description FROM annotated",
     "analysis_block": _A + f"SELECT photo_id, array_to_string(list_sort(list_filter([{_BLOCK}], lambda x: x IS NOT NULL)), '; ') AS block, concat_ws(' | ', 'FrameSift: ' || decision || ' (' || {_fmt('confidence')} || ')', 'sharpness ' || subject_sharpness, 'exposure ' || exposure, 'framing ' || framing, CASE WHEN group_size > 1 THEN 'burst ' || CASE WHEN is_best_of_group THEN 'best' ELSE 'alternate' END || ' of ' || group_size END, CASE WHEN len(issues) > 0 THEN 'issues: ' || array_to_string(issues, ', ') END, nullif(verdict_reason, '')) AS summary FROM (SELECT *, {_Q2} AS q2 FROM annotated)",
+    "xmp_attributes": _A + f"SELECT photo_id, array_to_string(list_sort(list_filter([{_ATTRIBUTES}], lambda x: x IS NOT NULL)), '; ') AS attributes FROM (SELECT *, {_Q2} AS q2 FROM annotated)",
     "csv_projection": _A + f"SELECT '2020-01-01 00:00:00' AS timestamp, filepath, filename, decision, {_fmt('confidence')} AS confidence, array_to_string(issues, '; ') AS issues, subject, subject_sharpness, exposure, framing, {_fmt('blur_score')} AS blur_score, {_fmt('exposure_score')} AS exposure_score, {_fmt('composition_score')} AS composition_score, {_Q2} AS overall_score, coalesce({_fmt('cv_sharpness')}, '') AS measured_sharpness, CAST(group_size AS VARCHAR) AS burst_size, CASE WHEN is_best_of_group THEN 'yes' ELSE 'no' END AS best_of_burst, coalesce(duplicate_of, '') AS duplicate_of, description, array_to_string(keywords, ', ') AS keywords, printf('%.0f', processing_ms) AS processing_ms FROM annotated",
     "report_sections": _A + f"SELECT s AS section, count(*) AS n, min(pos) AS first, max(pos) AS last FROM (SELECT {_SEC} AS s, CASE WHEN {_SEC} = 2 THEN array_to_string(issues, '; ') ELSE '' END AS pos FROM annotated) GROUP BY s",
     "cache_key": _BASE + "SELECT photo_id, md5(concat_ws('|', filepath, CAST(photo_id * 1000 AS VARCHAR), 'accurate', 'local', '', 'tags', '1')) AS cache_key FROM photos",
@@ -426,6 +443,7 @@ ORACLES = {
     "eval_violations": _BASE + f"SELECT count(*) FILTER (kind = 'original' AND decision = 'Delete') AS false_deletes, count(*) FILTER (kind = 'original') AS originals, count(*) FILTER (kind <> 'original' AND decision = 'Keep') AS missed, count(*) FILTER (kind <> 'original') AS ruined FROM decided JOIN {_TRUTH} USING (photo_id)",
     "failure_runs": "WITH e AS (SELECT event_id, event_type = 'error' AS f, row_number() OVER (ORDER BY event_id) AS i FROM events) SELECT min(event_id) AS first, max(event_id) AS last, count(*) AS length FROM (SELECT event_id, i - row_number() OVER (ORDER BY event_id) AS g FROM e WHERE f) GROUP BY g HAVING count(*) >= 3",
     "model_choice": f"SELECT name FROM (VALUES {', '.join(f'({_q(m)})' for m in MODELS)}) m(name), (VALUES {', '.join(f'({_q(f)}, {i})' for i, f in enumerate(S.MODEL_FAMILIES))}) f(fam, r) WHERE starts_with(lower(name), fam) ORDER BY r, NOT contains(lower(name), 'instruct'), name LIMIT 1",
+    "exif_dates": "SELECT event_id AS photo_id, CASE WHEN event_id % 11 < 5 THEN TIMESTAMP '2000-01-01 00:00:00' ELSE date_trunc('second', ts) END AS capture_time FROM events",
     "exposure_stats": _BASE + f"SELECT photo_id, CASE WHEN blown_fraction IS NULL OR cv_sharpness IS NULL THEN 'good' ELSE {_EXP} END AS category, coalesce(blown_fraction, 0) AS blown_fraction, coalesce(crushed_fraction, 0) AS crushed_fraction, CASE WHEN blown_fraction IS NULL THEN 0.5 ELSE coalesce(cv_sharpness, 0.5) END AS mean_level, coalesce(cv_sharpness, 0) AS contrast, blown_fraction IS NOT NULL AND cv_sharpness IS NOT NULL AS available FROM photos",
     "measured_pixels": _PIXELS + f""", t AS (SELECT photo_id, var_pop(lap) AS v FROM px GROUP BY photo_id, y // 2, x // 2),
 top AS (SELECT photo_id, avg(v) AS peak FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY photo_id ORDER BY v DESC) <= {S.TOP_TILES}) GROUP BY photo_id),

@@ -11,7 +11,7 @@ from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from .files import put
@@ -71,17 +71,17 @@ def _of(files: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
     return files.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes))
 
 
-def _told(path: str) -> datetime | None:
+def _told(path: str) -> str | None:
     """The time that a mounted file tells, of which no more is read than it takes: a JPEG's segments before its picture, else the first megabyte, else all."""
     with open(path.removeprefix("file:"), "rb") as f:
         head = f.read(2)
         if head != b"\xff\xd8":
             head += f.read(1 << 20)
-            return exif_time(head) or exif_time(head + f.read())
+            return exif_text(head) or exif_text(head + f.read())
         while len(mark := f.read(4)) == 4 and mark[0] == 0xFF and mark[1] != 0xDA:
             body = f.read(max(0, int.from_bytes(mark[2:], "big") - 2))
             if mark[1] == 0xE1 and body.startswith(b"Exif\0\0"):
-                return exif_time(head + mark + body)
+                return exif_text(head + mark + body)
     return None
 
 
@@ -95,8 +95,8 @@ def _segment(content: bytes) -> int | None:
     return None
 
 
-def exif_time(content: bytes) -> datetime | None:
-    """When a JPEG or a TIFF-based raw file says it was taken: its original time, else its date."""
+def exif_text(content: bytes) -> str | None:
+    """When a JPEG or a TIFF-based raw file says it was taken, as it says it: its original time, else its date."""
     at = 0
     if content[:2] == b"\xff\xd8":
         found = _segment(content)
@@ -120,12 +120,25 @@ def exif_time(content: bytes) -> datetime | None:
         main = entries(struct.unpack_from(order + "I", content, at + 4)[0])
         found = entries(main[_EXIF][2]).get(_TAKEN) if _EXIF in main else None
         kind, count, value = found or main[_CHANGED]
-        text = content[at + value : at + value + count].rstrip(b"\0 ").decode("ascii")
-        return datetime.strptime(text, "%Y:%m:%d %H:%M:%S")
+        return content[at + value : at + value + count].rstrip(b"\0 ").decode("ascii") or None
     except (KeyError, struct.error, ValueError):
         return None
 
 
+def exif_timestamp(text: Column) -> Column:
+    """A camera's date, ``2024:05:06 07:08:09``, as a timestamp without a zone; null for anything else, also for days that do not exist."""
+    iso = F.regexp_replace(text, r"^(\d{4}):(\d{2}):(\d{2}) (\d{2}:\d{2}:\d{2})$", "$1-$2-$3T$4")
+    return F.when(iso.contains("T"), iso).try_cast("timestamp_ntz")
+
+
+def exif_time(content: bytes) -> datetime | None:
+    """The same of one file's bytes, as Python reads it."""
+    try:
+        return datetime.strptime(exif_text(content) or "", "%Y:%m:%d %H:%M:%S")
+    except ValueError:
+        return None
+
+
 def _contents(spark: SparkSession, folder: str, listed: DataFrame, recursive: bool) -> DataFrame:
     """listed with content: null where the store is mounted, since tasks then open the files themselves; Spark reads files in other stores."""
     if _is_mounted(spark, folder):
@@ -147,14 +160,14 @@ def frames(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = S.PHOTO
             for k in range(b.num_rows):
                 path, content = b.column(0)[k].as_py(), b.column(4)[k].as_py()
                 try:
-                    times.append(exif_time(content) if content is not None else _told(path) if path.startswith("file:") else None)
+                    times.append(exif_text(content) if content is not None else _told(path) if path.startswith("file:") else None)
                 except OSError:  # gone or unreadable: the listing's time holds
                     times.append(None)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(times, pa.timestamp("us"))], [*b.schema.names[:4], "told"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(times, pa.string())], [*b.schema.names[:4], "told"])
 
     d = _contents(spark, folder, listed, recursive).select("path", "modificationTime", "length", "modified", "content")
-    out = d.mapInArrow(of, "path string, modificationTime timestamp, length long, modified timestamp_ntz, told timestamp_ntz")
-    return out.select("path", "modificationTime", "length", F.coalesce("told", "modified").alias("capture_time"))
+    out = d.mapInArrow(of, "path string, modificationTime timestamp, length long, modified timestamp_ntz, told string")
+    return out.select("path", "modificationTime", "length", F.coalesce(exif_timestamp(F.col("told")), "modified").alias("capture_time"))
 
 
 def _is_mounted(spark: SparkSession, folder: str) -> bool:

@@ -121,8 +121,7 @@ def compose_xmp(title: str, keywords: list[str], description: str, rating: str |
     if rating:
         node.set(_q("xmp", "Rating"), rating)
     for k, v in (analysis or {}).items():
-        head, *tail = k.split("_")
-        node.set(_q("framesift", head + "".join(x.capitalize() for x in tail)), str(v))
+        node.set(_q("framesift", k), str(v))
     bag = ET.SubElement(ET.SubElement(node, _q("dc", "subject")), _q("rdf", "Bag"))
     for k in keywords:
         ET.SubElement(bag, _q("rdf", "li")).text = k
@@ -155,7 +154,8 @@ def write(rows: DataFrame, style: str, date: str, override: bool = False, tool:
     if style not in ("on1", "xmp"):
         raise ValueError(f"unknown sidecar style {style!r}")
     target = F.col("xmp_path") if style == "xmp" else F.concat(F.regexp_replace("filepath", r"\.[^./]+$", ""), F.lit(".on1"))
-    rows = rows.where("decision <> 'Failed'").select("filepath", "filename", target.alias("target"), F.struct("out_keywords", "out_description", F.col("out_rating").cast("string").alias("out_rating"), F.map_entries("analysis").alias("analysis"), "summary").alias("x"))
+    block = metadata.analysis_attributes(F.col("analysis")) if style == "xmp" else F.col("analysis")
+    rows = rows.where("decision <> 'Failed'").select("filepath", "filename", target.alias("target"), F.struct("out_keywords", "out_description", F.col("out_rating").cast("string").alias("out_rating"), F.map_entries(block).alias("analysis"), "summary").alias("x"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
