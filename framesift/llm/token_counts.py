@@ -31,7 +31,7 @@ CHUNK = 1 << 16
 #: Characters between the checkpoints of a run.
 STRIDE = 64
 LIMIT = 4096
-CACHE = 400_000
+CACHE = 300_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 #: A text's state: marks that lead the word, whether its first piece is the lone mark (None: not settled yet), the transducer's state, and the last character.
 State = tuple[int, bool | None, int, str]
@@ -206,12 +206,22 @@ class Transducer:
             else:
                 (marks, alone, state, _), found = self.read(FRESH, w)
                 found += self.owed(marks, self.lone(alone, state))
-            if max(len(self.states), len(self.words), len(self.parts)) > CACHE:
+            if len(self.states) > CACHE:
                 self.clear()
+            for memo in (self.words, self.parts):
+                if len(memo) > CACHE:
+                    memo.clear()
             if len(w) <= 64:
                 self.words[w] = found
         return found
 
+    def read_words(self, words: list[str]) -> int:
+        get, n = self.words.get, 0
+        for w in words:
+            k = get(w)
+            n += self.word(w) if k is None else k
+        return n
+
     def lone(self, alone: bool | None, state: int) -> bool:
         return self.states[state][1][-1][3] if alone is None else alone
 
@@ -267,13 +277,9 @@ class Transducer:
         run = (Run(head, marks, end, count),)
         if first is None:
             return ChunkMap(run, None)
-        words = _WORD.findall(text, first.end())
-        get, n = self.words.get, 0
-        for w in words[:-1]:
-            k = get(w)
-            n += self.word(w) if k is None else k
-        behind, k = self.read(FRESH, words[-1])
-        return ChunkMap(run, (n + k, behind))
+        *words, last = _WORD.findall(text, first.end())
+        behind, n = self.read(FRESH, last)
+        return ChunkMap(run, (n + self.read_words(words), behind))
 
     def through(self, run: Run, s: State) -> tuple[State, int]:
         """The state behind a stretch and the tokens emitted; no more of it is walked than up to where its own run is in the same state."""
@@ -311,6 +317,8 @@ class Transducer:
         if not text:
             return 0
         s = MARK + text.replace(" ", MARK)
+        if len(s) <= chunk:
+            return self.read_words(_WORD.findall(s))  # one chunk, from the state that every text begins with
         maps = [self.chunk(s[i : i + chunk]) for i in range(0, len(s), chunk)]
         while len(maps) > 1:  # one level of the scan's tree
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
