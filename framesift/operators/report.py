@@ -40,11 +40,11 @@ def read_csv(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(folder).na.fill("")
 
 
-def cards(df: DataFrame) -> DataFrame:
-    """(section, position, filepath, html): a card for each frame, escaped on the executors."""
+def cards(df: DataFrame, thumbs: str = "thumbs") -> DataFrame:
+    """(section, position, filepath, html): a card for each frame, escaped on the executors; ``thumbs`` is where the page finds its thumbnails."""
     e = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
     thumb = F.concat(F.md5("filepath"), F.lit(".png"))
-    html = F.concat(F.lit('<div class="card"><a href="file://'), e("filepath"), F.lit('"><img loading="lazy" src="thumbs/'), thumb, F.lit('"></a><b>'), e("filename"), F.lit("</b> "), e("decision"), F.lit(" "), e("confidence"), F.lit("<p>"), e("issues"), F.lit("</p></div>"))
+    html = F.concat(F.lit('<div class="card"><a href="file://'), e("filepath"), F.lit('"><img loading="lazy" src="' + thumbs + '/'), thumb, F.lit('"></a><b>'), e("filename"), F.lit("</b> "), e("decision"), F.lit(" "), e("confidence"), F.lit("<p>"), e("issues"), F.lit("</p></div>"))
     return report_sections(df).select("section", "position", "filepath", html.alias("html"))
 
 
@@ -62,13 +62,25 @@ def render(run: DataFrame, title: str = "Run") -> str:
     return "\n".join(out) + ("</details>" if now else "")
 
 
-def write_page(run: DataFrame, folder: str) -> None:
-    """The page as files that executors write: a folder for each section (``section=1``, rejects, to 5, failed) with parts of cards in the section's order.
+def _write_html(df: DataFrame, folder: str, head: str, *sections: str) -> None:
+    """One column of HTML as files that begin with ``head``; rows are written as they are."""
+    html = df.withColumnRenamed("html", head).write.mode("overwrite")
+    html = html.partitionBy(*sections) if sections else html
+    html.option("extension", "htm").option("header", "true").option("quote", "\0").option("escape", "\0").option("delimiter", "\1").option("emptyValue", "").csv(folder)
 
-    Nothing but the cards of one part is held anywhere; any number of frames can be written.
+
+def write_page(run: DataFrame, folder: str, title: str = "Run") -> None:
+    """The report as files that executors write: a folder for each section (``section=1``, rejects, to 5, failed) with pages of cards in the section's order, and ``index`` with links to all pages.
+
+    Nothing but the cards of one page is held anywhere, so any number of frames can be written; thumbnails belong into ``thumbs`` beside the sections.
     """
-    c = cards(run).repartitionByRange("section", "position", "filepath").sortWithinPartitions("section", "position", "filepath")
-    c.select("section", F.col("html").alias("value")).write.mode("overwrite").partitionBy("section").text(folder)
+    spark = run.sparkSession
+    c = cards(run, "../thumbs").repartitionByRange("section", "position", "filepath").sortWithinPartitions("section", "position", "filepath")
+    head = _HEAD.format(escape(title)).replace("`", "")
+    _write_html(c.select("section", "html"), folder, head, "section")
+    pages = sorted(x.rsplit("/", 2)[-2:] for x in spark.read.text(folder).inputFiles())
+    links = [(f'<p>{TITLES[int(of.split("%3D")[-1].split("=")[-1])]}: <a href="../{escape(of)}/{escape(name)}">page {i}</a></p>',) for i, (of, name) in enumerate(pages, 1)]
+    _write_html(spark.createDataFrame(links, "html string").coalesce(1), f"{folder.rstrip('/')}/index", head)
 
 
 def write_thumbs(images: DataFrame, folder: str) -> DataFrame:

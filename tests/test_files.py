@@ -337,7 +337,11 @@ def test_run_with_a_model(spark, folder, server, tmp_path_factory, capsys):
     back = report.read_csv(spark, str(out / "r"))
     assert {r["filename"]: r["decision"] for r in back.collect()} == {"a.PNG": "Keep", "b.png": "Keep", "broken.png": "Failed"}
     assert [r["filename"] for r in back.collect()] == sorted(r["filename"] for r in back.collect())
-    assert len(list((out / "r.page" / "thumbs").iterdir())) == 2 and (out / "r.page" / "section=4").is_dir()
+    page = next((out / "r.page" / "section=4").glob("*.htm")).read_text()
+    thumbs = {x.name for x in (out / "r.page" / "thumbs").iterdir()}
+    assert page.startswith("<!doctype html>") and len(thumbs) == 2 and set(re.findall(r'src="../thumbs/([^"]+)"', page)) == thumbs and page.count("<div") == 2
+    index = next((out / "r.page" / "index").glob("*.htm")).read_text()
+    assert all((out / "r.page" / "index" / x).is_file() for x in re.findall(r'href="([^"]+)"', index)) and "Keeps" in index and "Failed" in index
     assert run.main([*args[:2], "http://127.0.0.1:9", *args[3:]]) == 1
     assert run.main([str(folder), "--fast", "--extensions", "png", "--csv", str(out / "f"), "--sidecars", "xmp", "--dry-run"]) == 0
 
