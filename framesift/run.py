@@ -35,7 +35,7 @@ class Config:
     recursive: bool = True
     grouping: bool = True
     burst_gap_seconds: float = S.BURST_GAP_SECONDS
-    csv_dir: str = "cull_runs"
+    csv_dir: str = "runs"
     cache_dir: str | None = None
     preview_dir: str | None = None
     extensions: tuple[str, ...] = S.PHOTO_EXTENSIONS
