@@ -25,7 +25,7 @@ def _bounds(df: DataFrame, key: list[str], rows: int) -> list:
 
 
 def ranged(df: DataFrame, key: list[str], name: str, rows: int = ROWS) -> DataFrame:
-    """df with the number of its range: rows with a smaller key are in the same range or one before it; nulls come last.
+    """df with the number of its range, or df itself if all of it is one: rows with a smaller key are in the same range or one before it; nulls come last.
 
     The key is counted and sampled in jobs of their own, so df is best read from a table. Equal keys share a range; give the key a
     last column that tells rows apart where many could be equal.
@@ -39,7 +39,7 @@ def ranged(df: DataFrame, key: list[str], name: str, rows: int = ROWS) -> DataFr
     own = F.struct(*[x for c in key for x in (F.col(c).isNull(), F.col(c))])
     marks = [F.struct(*[x for c, t in zip(key, b) for x in value(c, t)]) for b, _ in _bounds(df, key, rows)]
     if not marks:
-        return df.withColumn(name, F.lit(0))
+        return df
     bounds = F.array(*marks)
     # halving the steps finds the number of bounds that are not above the key
     steps = [1 << i for i in reversed(range(len(marks).bit_length()))]
@@ -53,10 +53,14 @@ def runs(df: DataFrame, key: list[str], own: Column, parted: Callable[[Column, C
     ``own`` is a struct of what the test looks at. Within a range a window finds the runs; a table with a row a range carries
     the last row and the number of runs on, and says whether a range's first row goes on with the run before it.
     """
-    d = ranged(df, key, "_range", rows).withColumn("_own", own)
-    w = Window.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_last() for c in key])
+    d = ranged(df, key, "_range", rows)
+    alone = d is df  # all rows are one range: nothing crosses a border
+    w = (Window if alone else Window.partitionBy("_range")).orderBy(*[F.col(c).asc_nulls_last() for c in key])
+    d = d.withColumn("_own", own)
     d = d.withColumns({"_at": F.row_number().over(w), "_before": F.lag("_own").over(w)})
     d = d.withColumn("_run", F.sum(F.when((F.col("_at") > 1) & ~parted(F.col("_before"), F.col("_own")), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if alone:
+        return d.withColumn(name, (F.col("_run") - 1).cast("long")).drop("_own", "_at", "_before", "_run")
     each = d.groupBy("_range").agg(F.min_by("_own", "_at").alias("_first"), F.max_by("_own", "_at").alias("_last"), F.max("_run").alias("_n"))
     order = Window.orderBy("_range")  # over ranges, of which there are MOST at most, not rows
     each = each.withColumn("_prior", F.lag("_last").over(order))
