@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -94,6 +97,22 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def release() -> None:
+    """Gives back to the system what this process has freed: a Python worker outlives its task, and what it keeps counts beside the tasks that follow on its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim:
+        trim(0)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one, or where the reader stops, freed memory is given back."""
+    try:
+        yield from batches
+    finally:
+        release()
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row, also where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, connected_components, pick, unused, written
+from .common import Scratch, connected_components, pick, released, unused, written
 from .simhash import _LOWER, SHINGLE, SIMILARITY, _signed
 
 BANDS, ROWS = 48, 6
@@ -71,7 +71,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 keys = pa.array([buckets(s) if len(s) else np.zeros(0, np.int64) for _, s in got], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([len(s) for _, s in got], pa.int32()), keys], ["doc_id", "text_hash", "node", "n", "keys"])
 
-    return _rows(docs).mapInArrow(of, "doc_id long, text_hash long, node long, n int, keys array<long>")
+    return _rows(docs).mapInArrow(lambda it: released(of(it)), "doc_id long, text_hash long, node long, n int, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -87,7 +87,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 sets = pa.array([shingles(t or "", shingle)[1].view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), sets], ["node", "s"])
 
-    return found.mapInArrow(of, "node long, s array<long>")
+    return found.mapInArrow(lambda it: released(of(it)), "node long, s array<long>")
 
 
 def _alike(na: Column, nb: Column, both: Column, similarity: float) -> Column:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Scratch, free_shuffles, pick, unused, written
+from .common import Scratch, free_shuffles, pick, release, released, unused, written
 
 WIDTH = 100
 GRAM = 24
@@ -411,7 +411,7 @@ def _strings(cut: DataFrame, width: int) -> DataFrame:
                     kinds = (*[pa.int64()] * 5, pa.binary(), pa.bool_())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["key", "h", "doc", "part", "a", "s", "split"])
 
-    return cut.mapInArrow(of, _STRINGS)
+    return cut.mapInArrow(lambda it: released(of(it)), _STRINGS)
 
 
 def _windows(strings: DataFrame, width: int) -> DataFrame:
@@ -425,12 +425,18 @@ def _windows(strings: DataFrame, width: int) -> DataFrame:
                 out = [(doc, part, a + x, xxhash.xxh3_128_digest(s[x : x + width])) for doc, part, a, s in zip(*(c.slice(i, 1024).to_pylist() for c in b.columns)) for x in range(len(s) - width + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc", "part", "a", "s"])
 
-    return strings.select("doc", "part", "a", "s").mapInArrow(of, "doc long, part long, a long, s binary")
+    return strings.select("doc", "part", "a", "s").mapInArrow(lambda it: released(of(it)), "doc long, part long, a long, s binary")
 
 
 def _settle(t: pa.Table, width: int) -> pa.Table:
     """(doc, part, a, e) of the repeated windows of one collection's strings (h, doc, part, a, s)."""
-    pa.default_memory_pool().release_unused()  # what the collection before this one held
+    try:
+        return _settled(t, width)
+    finally:
+        release()
+
+
+def _settled(t: pa.Table, width: int) -> pa.Table:
     # rows that repeat an id and a text bring the same strings: once is enough
     t = t.group_by(["h", "doc", "part", "a", "s"]).aggregate([])
     s = t.column("s").to_pylist()
@@ -460,7 +466,7 @@ def removed_spans(docs: DataFrame, width: int = WIDTH, hot: int = HOT, size: int
     spark = docs.sparkSession
     scratch = Scratch(spark)
     d = _keyed(docs)
-    pend = d.mapInArrow(lambda it: _pending(it, width), "h long, sig long, doc long, al long").repartition("h")
+    pend = d.mapInArrow(lambda it: released(_pending(it, width)), "h long, sig long, doc long, al long").repartition("h")
     same, gram = Window.partitionBy("h", "sig").orderBy("doc", "al"), Window.partitionBy("h")
     seen = pend.withColumn("n", F.dense_rank().over(same))
     seen = seen.withColumn("kinds", F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).over(gram)).withColumn("tie", F.max(F.col("al").bitwiseAND(F.lit(1))).over(gram))
@@ -534,7 +540,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT, size: int = COLLE
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept"] * text
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return rows.mapInArrow(of, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>" + ", kept binary" * text)
+    return rows.mapInArrow(lambda it: released(of(it)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>" + ", kept binary" * text)
 
 
 def cleaned(docs: DataFrame, width: int = WIDTH, hot: int = HOT, size: int = COLLECTION) -> DataFrame:
@@ -569,7 +575,7 @@ def cleaned(docs: DataFrame, width: int = WIDTH, hot: int = HOT, size: int = COL
                     cols[n_at] = pa.array([None if t is None else len(t) for t in texts], cols[n_at].type)
                 yield pa.RecordBatch.from_arrays(cols, part.schema.names[:-1])
 
-    return rows.mapInArrow(of, schema)
+    return rows.mapInArrow(lambda it: released(of(it)), schema)
 
 
 #: The query for DuckDB: every window of every text, in blocks of 512 places, grouped by its bytes.

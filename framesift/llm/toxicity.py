@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pick
+from .common import pick, released
 
 BITS = 20
 #: The bound on the labelled rows of each class that training looks at, lowest hash of the id first.
@@ -197,7 +197,7 @@ def drop_toxic(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], thr
                 part = b.slice(i, 256)
                 yield part.filter(pa.array([x < threshold for x in _scores(part.column(at).to_pylist(), sent.value, dense, bits)]))
 
-    return docs.mapInArrow(of, docs.schema)
+    return docs.mapInArrow(lambda it: released(of(it)), docs.schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
