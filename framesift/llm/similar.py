@@ -1,8 +1,10 @@
-"""The similarity mode of the near-duplicate operator: fingerprints of minima, cells of segments that agree, exact verification on whole sets.
+"""The similarity mode of the near-duplicate operator: SimHash fingerprints met in grids of segment popcounts, exact verification on whole sets.
 
-A document is a node by its lower-cased words; its set holds the 64-bit hashes of its distinct shingles. ``BANDS`` buckets
-of ``ROWS`` minima each propose pairs: two sets of similarity s share none with probability (1 - s^ROWS)^BANDS, 5e-7 at 0.8
-and less above. Every proposed pair is decided on the whole sets, unless links already found put both ends in one component.
+A document is a node by its lower-cased words; its set holds the 64-bit hashes of its distinct shingles. First the operator's own steps: majority
+fingerprints, embedded as segment popcounts, range-joined in grids, verified. At 0.8 two fingerprints differ in ten bits on average, beyond any grid's reach, so a second
+pass completes them over what is still apart: ``BANDS`` buckets of ``ROWS`` minima each propose pairs, of which two sets of similarity s
+share none with probability (1 - s^ROWS)^BANDS, 5e-7 at 0.8 and less above. Every proposed pair is decided on the whole sets, unless links already
+found put both ends in one component.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch, connected_components, pick, released, unused, written
-from .simhash import _LOWER, SHINGLE, SIMILARITY, _signed
+from .simhash import _LOWER, SHINGLE, SIMILARITY, STEP, _signed, links as fingerprint_links
 
 BANDS, ROWS = 48, 6
 CHUNK = 512
@@ -24,8 +26,8 @@ _MUL = _draw.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
 _MIX = _draw.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
-    """The hash of the text's lower-cased words and the sorted hashes of its distinct shingles; one shingle for a shorter text, none without words."""
+def hashes(text: str, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
+    """The hash of the text's lower-cased words and the hashes of its shingles, repeats included; one shingle for a shorter text, none without words."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
@@ -40,7 +42,15 @@ def shingles(text: str, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
     ends = np.cumsum(sizes) - 1
     begins = (ends - sizes + 1)[: len(words) - shingle + 1].tolist()
     ends = ends[shingle - 1 :].tolist()
-    return node, np.unique(np.fromiter((of(norm[a:b], 42) for a, b in zip(begins, ends)), np.uint64, len(begins)))
+    return node, np.fromiter((of(norm[a:b], 42) for a, b in zip(begins, ends)), np.uint64, len(begins))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes with repeats: what ``simhash.fingerprint`` makes of the text that they come from."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), STEP):
+        ones += np.unpackbits(h[i : i + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
 def buckets(s: np.ndarray) -> np.ndarray:
@@ -61,17 +71,24 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_hash, node, n, keys) for every row: n is the size of its set, keys are its buckets."""
+    """(doc_id, text_hash, node, n, fp, keys) for every row: n is the size of its set, fp its fingerprint, keys are its buckets."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                got = [shingles(t or "", shingle) for t in part.column(2).to_pylist()]
-                keys = pa.array([buckets(s) if len(s) else np.zeros(0, np.int64) for _, s in got], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([len(s) for _, s in got], pa.int32()), keys], ["doc_id", "text_hash", "node", "n", "keys"])
+                nodes, sizes, fps, keys = [], [], [], []
+                for t in part.column(2).to_pylist():
+                    node, h = hashes(t or "", shingle)
+                    s = np.unique(h)
+                    nodes.append(node)
+                    sizes.append(len(s))
+                    fps.append(majority(h))
+                    keys.append(buckets(s) if len(s) else np.zeros(0, np.int64))
+                columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "text_hash", "node", "n", "fp", "keys"])
 
-    return _rows(docs).mapInArrow(lambda it: released(of(it)), "doc_id long, text_hash long, node long, n int, keys array<long>")
+    return _rows(docs).mapInArrow(lambda it: released(of(it)), "doc_id long, text_hash long, node long, n int, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -84,7 +101,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                sets = pa.array([shingles(t or "", shingle)[1].view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))
+                sets = pa.array([np.unique(hashes(t or "", shingle)[1]).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), sets], ["node", "s"])
 
     return found.mapInArrow(lambda it: released(of(it)), "node long, s array<long>")
@@ -101,10 +118,25 @@ def _within_reach(na: Column, ea: Column, nb: Column, eb: Column, similarity: fl
     return _alike(na, nb, F.least(na - ea, nb - eb), similarity)
 
 
+def met(nodes: DataFrame) -> DataFrame:
+    """(a, b): each node with the first one of its own fingerprint, and the first one of each fingerprint with that of the least other within reach, as the grids find them.
+
+    That is a pair a node and a pair a fingerprint however many are alike: a group of near copies is not written in all its pairs, and what this leaves apart the buckets join.
+    """
+    fps = nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("lead"))
+    own = nodes.where("n > 0").select("node", "fp").join(fps, "fp").select("node", F.col("lead").alias("other"))
+    near = fingerprint_links(fps.select("fp"))
+    least = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("to"))
+    across = least.join(fps, "fp").select(F.col("lead").alias("node"), "to").join(fps.select(F.col("fp").alias("to"), F.col("lead").alias("other")), "to").select("node", "other")
+    both = own.unionByName(across).where("node != other")
+    return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): verified pairs of the nodes (node, n, first, keys) whose components are those of all proposed pairs of ``similarity`` or more.
+    """(a, b): verified pairs of the nodes (node, n, first, fp, keys) whose components are those of all proposed pairs of ``similarity`` or more.
 
-    What a group of copies has in common is in many of its sets; what one of them has alone is counted, and bounds its similarity to any other. Each bucket
+    What the grids of the fingerprints bring together is verified first; buckets whose members that joins already are done. What a group of copies
+    has in common is in many of its sets; what one of them has alone is counted, and bounds its similarity to any other. Each bucket that is left
     first compares its members with the one that has the least of its own, which is near the middle of its group: that joins nearly all that can be joined, by one pair a member.
     Of the buckets that still hold several components, those members that the bound leaves a partner in another one meet once more, and
     the join gives only the pairs that pass on their whole sets: no pair of a group is written but such as are links.
@@ -112,21 +144,30 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, shingle: int = SH
     cell = nodes.select("node", F.explode("keys").alias("key"))
     shared = cell.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep != last").select("key")
     members = scratch.written(cell.join(shared, "key"), "members")
+    close = scratch.written(met(nodes), "met")
+    wanted = members.select("node").unionByName(close.select(F.col("a").alias("node"))).unionByName(close.select(F.col("b").alias("node"))).distinct()
     # rows that repeat wholly give a set more than once
-    sets = scratch.written(_sets(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), shingle).dropDuplicates(["node"]), "sets")
+    sets = scratch.written(_sets(docs, nodes.join(wanted, "node", "left_semi"), shingle).dropDuplicates(["node"]), "sets")
+    a, b = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+    same = _alike(F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb")), similarity)
+    verified = lambda pairs: scratch.written(pairs.join(a, "a").join(b, "b").where(same).select("a", "b"), "links")
+    near = verified(close)
+    joined = scratch.written(connected_components(near, into=scratch), "parts")
+    placed = members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    placed = placed.join(apart, "key", "left_semi")
+
     own = sets.select("node", F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("e"))
     sized = sets.select("node", F.size("s").cast("long").alias("n")).join(own, "node", "left").select("node", "n", F.coalesce("e", F.lit(0)).alias("e"))
     k = round(similarity * 1000)
-    of = scratch.written(members.join(sized.where(1000 * (F.col("n") - F.col("e")) >= k * F.col("n")), "node").select("key", "node", "n", "e"), "near")
-    lead = of.groupBy("key").agg(F.min(F.struct(F.col("e") / F.col("n"), "node", "n", "e")).alias("r")).select("key", F.col("r.node").alias("a"), F.col("r.n").alias("na"), F.col("r.e").alias("ea"))
-    pairs = of.join(lead, "key").where((F.col("a") != F.col("node")) & _within_reach(F.col("na"), F.col("ea"), F.col("n"), F.col("e"), similarity))
+    of = scratch.written(placed.join(sized.where(1000 * (F.col("n") - F.col("e")) >= k * F.col("n")), "node").select("key", "node", "n", "e", "comp"), "near")
+    lead = of.groupBy("key").agg(F.min(F.struct(F.col("e") / F.col("n"), "node", "n", "e", "comp")).alias("r")).select("key", F.col("r.node").alias("a"), F.col("r.n").alias("na"), F.col("r.e").alias("ea"), F.col("r.comp").alias("ca"))
+    pairs = of.join(lead, "key").where((F.col("ca") != F.col("comp")) & _within_reach(F.col("na"), F.col("ea"), F.col("n"), F.col("e"), similarity))
     pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    a, b = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    same = _alike(F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb")), similarity)
-    found = scratch.written(pairs.join(a, "a").join(b, "b").where(same).select("a", "b"), "links")
+    found = near.unionByName(verified(pairs))
 
     comp = scratch.written(connected_components(found, into=scratch), "parts")
-    of = of.join(comp, "node", "left").select("key", "node", "n", "e", F.coalesce("component", "node").alias("comp"))
+    of = of.drop("comp").join(comp, "node", "left").select("key", "node", "n", "e", F.coalesce("component", "node").alias("comp"))
     several = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
     of = scratch.written(of.join(several, "key", "left_semi"), "open")
     x, y = of.alias("x"), of.alias("y")
@@ -147,7 +188,7 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
     scratch = Scratch(docs.sparkSession)
     each = scratch.written(sketches(docs, shingle), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "text_hash")
-    nodes = scratch.written(each.groupBy("node").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    nodes = scratch.written(each.groupBy("node").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
     comp = connected_components(links(docs, nodes, scratch, shingle, similarity), into=scratch)
     labelled = nodes.join(comp, "node", "left").select("first", F.coalesce("component", "node").alias("comp"))
     keep = labelled.groupBy("comp").agg(F.min("first").alias("f")).select(F.coalesce("f.id", F.lit(0)).alias("_i"), F.col("f.none").alias("_no"), F.col("f.text_hash").alias("_h"))

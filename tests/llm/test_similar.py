@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from framesift.llm import similar
+from framesift.llm import simhash, similar
+from framesift.llm.common import Scratch
 
 
 def shingle_set(text):
@@ -107,3 +108,30 @@ def test_sets_of_millions_do_not_overflow(spark):
 
     df = spark.createDataFrame([(3_000_000, 3_000_000, 2_700_000), (3_000_000, 3_000_000, 2_600_000)], "a int, b int, both int")
     assert [r[0] for r in df.select(similar._alike(F.col("a"), F.col("b"), F.col("both"), 0.8)).collect()] == [True, False]
+
+
+def test_fingerprint_is_the_operators(odd):
+    for t in [*odd, *near_copies(4, 3)]:
+        for k in (3, 5):
+            assert similar.majority(similar.hashes(t or "", k)[1]) == simhash._signed(simhash.fingerprint(t or "", k))
+
+
+def test_grids_of_fingerprints_link_without_minima(docs_of):
+    """The operator's own steps: without any bucket of minima, what is within three bits meets, and what passes on whole sets is joined."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base)] + [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(399, 360, -1)] + [f"{i} {r.random()} b c d e" for i in range(9)]
+    docs = docs_of(list(enumerate(texts)))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "text_hash").alias("first")
+    nodes = similar.sketches(docs).select("node", "n", first, "fp", F.array().cast("array<bigint>").alias("keys"))
+    fp, sets = {}, {}
+    for t in texts:
+        node = similar.hashes(t)[0]
+        fp[node], sets[node] = simhash.fingerprint(t, 5), shingle_set(t)
+    close = {(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3}
+    met = {tuple(x) for x in similar.met(nodes).collect()}
+    assert met <= close and {n for p in met for n in p} == {n for p in close for n in p} and len(met) > 20
+    got = {tuple(x) for x in similar.links(docs, nodes, Scratch(docs.sparkSession)).collect()}
+    assert got == {(a, b) for a, b in met if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])} and len(got) > 20
