@@ -43,3 +43,12 @@ def test_pictures_are_drawn_from_their_numbers():
     (b,) = Q._drawn([pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], ["photo_id"])])
     want = [None if i is None else bytes((i * 37 + y * x * 5 + y * 11 + x * 17 + i % 7 * y * y) % 256 for y in range(16) for x in range(16)) for i in ids]
     assert b.column("photo_id").to_pylist() == ids and b.column("data").to_pylist() == want
+
+
+def test_hashes_of_a_stack_are_those_of_its_pictures_alone(stacks):
+    r = np.random.default_rng(1)
+    pictures = [r.integers(0, 256, s, np.uint8) for _ in range(200) for s in ((16, 16, 1), (32, 45, 1), (3, 70, 3))] + [np.full((16, 16, 1), v, np.uint8) for v in (0, 7, 255)]
+    high, low = (c.to_pylist() for c in M._measured_batch(_batch(pictures))[6:])
+    assert len(stacks) == 3  # one a size
+    assert list(zip(high, low)) == [M.perceptual_hash(M.luma(p)) for p in pictures]
+    assert all(0 <= x < 1 << 32 for x in high + low)
