@@ -97,12 +97,20 @@ def xmp_fields(df: DataFrame, o: WriteOptions = WriteOptions(), tool: str = S.TO
                            "out_rating": F.when(real & F.lit(not o.force_rating), had).when(stars.isNotNull(), stars).when(real, had)})
 
 
-def sidecar_path(photos: DataFrame, listing: DataFrame) -> DataFrame:
-    """Adds xmp_path: an existing file named for the stem, else one named for the whole name, else the first form."""
+def sidecar_path(photos: DataFrame, listing: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Adds xmp_path: an existing file named for the stem, else one named for the whole name, else the first form.
+
+    A file that is listed twice counts once. ``within`` names columns of both tables that tell apart what is listed under like paths.
+    """
     stem = F.regexp_replace("filepath", r"\.[^./]+$", "")
     p = photos.withColumns({"_a": F.concat(stem, F.lit(".xmp")), "_b": F.concat("filepath", F.lit(".xmp"))})
-    have = listing.select(F.col("path").alias("_x"))
-    p = p.join(have, F.col("_a") == F.col("_x"), "left").withColumnRenamed("_x", "_xa").join(have, F.col("_b") == F.col("_x"), "left")
+    have = listing.select(F.col("path").alias("_x"), *[F.col(c).alias(f"_x_{c}") for c in within]).distinct()
+
+    def look(df: DataFrame, key: str) -> DataFrame:
+        on = [F.col(key) == F.col("_x"), *[F.col(c).eqNullSafe(F.col(f"_x_{c}")) for c in within]]
+        return df.join(have, on, "left").drop(*[f"_x_{c}" for c in within])
+
+    p = look(look(p, "_a").withColumnRenamed("_x", "_xa"), "_b")
     return p.withColumn("xmp_path", F.coalesce("_xa", "_x", "_a")).drop("_a", "_b", "_xa", "_x")
 
 
