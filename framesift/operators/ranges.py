@@ -24,11 +24,12 @@ def _bounds(df: DataFrame, key: list[str], rows: int) -> list:
     return sorted({found[len(found) * i // parts]: i for i in range(1, parts)}.items(), key=lambda x: x[1]) if found else []
 
 
-def ranged(df: DataFrame, key: list[str], name: str, rows: int = ROWS) -> DataFrame:
+def ranged(df: DataFrame, key: list[str], name: str, rows: int = ROWS, like: DataFrame | None = None) -> DataFrame:
     """df with the number of its range, or df itself if all of it is one: rows with a smaller key are in the same range or one before it; nulls come last.
 
-    The key is counted and sampled in jobs of their own, so df is best read from a table. Equal keys share a range; give the key a
-    last column that tells rows apart where many could be equal.
+    The key is counted and sampled in jobs of their own, so df is best read from a table. Where it comes of long work, ``like`` is counted
+    and sampled in its place: a cheaper table of no fewer rows with the same key columns, whose keys lie about as df's do. Any bounds give the same order.
+    Equal keys share a range; give the key a last column that tells rows apart where many could be equal.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
@@ -37,7 +38,7 @@ def ranged(df: DataFrame, key: list[str], name: str, rows: int = ROWS) -> DataFr
         return [F.lit(text is None), v]
 
     own = F.struct(*[x for c in key for x in (F.col(c).isNull(), F.col(c))])
-    marks = [F.struct(*[x for c, t in zip(key, b) for x in value(c, t)]) for b, _ in _bounds(df, key, rows)]
+    marks = [F.struct(*[x for c, t in zip(key, b) for x in value(c, t)]) for b, _ in _bounds(df if like is None else like, key, rows)]
     if not marks:
         return df
     bounds = F.array(*marks)
@@ -47,13 +48,13 @@ def ranged(df: DataFrame, key: list[str], name: str, rows: int = ROWS) -> DataFr
     return df.withColumn(name, at)
 
 
-def runs(df: DataFrame, key: list[str], own: Column, parted: Callable[[Column, Column], Column], name: str = "run", rows: int = ROWS) -> DataFrame:
+def runs(df: DataFrame, key: list[str], own: Column, parted: Callable[[Column, Column], Column], name: str = "run", rows: int = ROWS, like: DataFrame | None = None) -> DataFrame:
     """df with the number of its run: in the order of the key a row begins a run where ``parted(before, own)`` holds of the row before it and itself.
 
     ``own`` is a struct of what the test looks at. Within a range a window finds the runs; a table with a row a range carries
-    the last row and the number of runs on, and says whether a range's first row goes on with the run before it.
+    the last row and the number of runs on, and says whether a range's first row goes on with the run before it. ``like`` is as in ``ranged``.
     """
-    d = ranged(df, key, "_range", rows)
+    d = ranged(df, key, "_range", rows, like)
     alone = d is df  # all rows are one range: nothing crosses a border
     w = (Window if alone else Window.partitionBy("_range")).orderBy(*[F.col(c).asc_nulls_last() for c in key])
     d = d.withColumn("_own", own)
@@ -67,4 +68,5 @@ def runs(df: DataFrame, key: list[str], own: Column, parted: Callable[[Column, C
     joined = F.col("_prior").isNotNull() & ~parted(F.col("_prior"), F.col("_first"))
     each = each.withColumn("_joined", F.when(joined, 1).otherwise(0))
     each = each.select("_range", (F.sum(F.col("_n") - F.col("_joined")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_off"))
-    return d.join(each, "_range").withColumn(name, (F.col("_off") + F.col("_run") - 1).cast("long")).drop("_range", "_own", "_at", "_before", "_run", "_off")
+    # every row has its range there; an inner join would ask for ranges that are not null on one side alone, and all before it would run twice
+    return d.join(each, "_range", "left").withColumn(name, (F.col("_off") + F.col("_run") - 1).cast("long")).drop("_range", "_own", "_at", "_before", "_run", "_off")

@@ -5,7 +5,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from framesift.operators import metadata
+from framesift.operators import metadata, ranges, resolve
 from framesift.plans import queries as Q
 
 
@@ -29,3 +29,25 @@ def test_a_sidecar_listed_twice_counts_once(spark):
     of = lambda *x: sorted(tuple(r) for r in metadata.sidecar_path(photos, listing, *x).select(F.coalesce("card", F.lit(0)), "filepath", "xmp_path").collect())
     assert of(("card",)) == [(0, "/s/a.nef", "/s/a.nef.xmp"), (1, "/s/a.nef", "/s/a.xmp"), (1, "/s/b.nef", "/s/b.nef.xmp"), (1, "/s/c.nef", "/s/c.xmp"), (2, "/s/a.nef", "/s/a.xmp")]
     assert [x[2] for x in of()] == ["/s/a.xmp", "/s/a.xmp", "/s/b.nef.xmp", "/s/c.xmp", "/s/a.xmp"]
+
+
+def test_resolved_by_path_looks_for_its_bounds_in_the_listing(compare, monkeypatch):
+    """Resolving is long work: it is neither counted nor sampled to be put in order, and many ranges give the SQL's places."""
+    seen, of = [], ranges._bounds
+    monkeypatch.setattr(ranges, "_bounds", lambda df, key, rows: seen.append(df) or of(df, key, 50))
+    compare(Q.QUERIES["resolved_by_path"], Q.ORACLES["resolved_by_path"], "/root/testdata/sf0.001")
+    (looked_at,) = seen
+    assert "Join" not in looked_at._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("low,high", [(0, 400), (390, 1000), (5000, 9000)])
+def test_bounds_of_another_table_give_the_same_order(spark, low, high):
+    df = spark.range(400).select((F.col("id") * 7 % 400).alias("k"))
+    got = ranges.runs(df, ["k"], F.struct(F.lit(1).alias("x")), lambda a, b: F.lit(True), "place", 30, spark.range(low, high).select(F.col("id").alias("k"))).collect()
+    assert sorted((r["k"], r["place"]) for r in got) == [(i, i) for i in range(400)]
+
+
+def test_the_index_of_odd_names(spark):
+    names = ["D1.NEF", "d1.Jpg", ".D1.NEF", "sub/.D2.nef", "sub.nef/D3", "D4.nef.txt", ".nef", "a..cr2", "b.c.TIFF", "x y.heic", "D5.xnef", "D6.1nef", "sub/D1.dng"]
+    got = {(r["folder"], r["key"]): (r["original"], r["render"]) for r in resolve.folder_index(spark.createDataFrame([(f"/p/{n}",) for n in names], "path string")).collect()}
+    assert got == {("/p", "d1"): ("/p/D1.NEF", "/p/d1.Jpg"), ("/p", "a."): ("/p/a..cr2", None), ("/p", "b.c"): (None, "/p/b.c.TIFF"), ("/p", "x y"): ("/p/x y.heic", None), ("/p/sub", "d1"): ("/p/sub/D1.dng", None)}
